@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.functions.vertex_ids import vertex_or_null
-from vertexloom.llm import grouping, heavy_hitters
+from vertexloom.llm import grouping, heavy_hitters, spans
 from vertexloom.llm.sql import SQL  # noqa: F401
 
 
@@ -33,4 +33,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return grouping.components([pairs, states])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_top, p3_found)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.sharing_pairs(spans.shared_runs(table(spark, folder, "documents")))
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.passages(spans.shared_runs(table(spark, folder, "documents")))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return spans.sharing_report(docs, spans.shared_runs(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_top, p3_found, p8_found, p8_passages, p8_report)}
