@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.functions.vertex_ids import vertex_or_null
-from vertexloom.llm import grouping, heavy_hitters, spans
+from vertexloom.llm import grouping, heavy_hitters, mixing, packing, spans, tokens
 from vertexloom.llm.sql import SQL  # noqa: F401
 
 
@@ -33,6 +33,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return grouping.components([pairs, states])
 
 
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = tokens.sized(table(spark, folder, "documents"), ["doc_id"])
+    return packing.fill(sizes, table(spark, folder, "pack_size"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p6_fill(spark, folder), table(spark, folder, "pack_size"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> mixing.Mix:
+    sizes = tokens.sized(table(spark, folder, "documents"), ["doc_id", "source", "lang"])
+    return mixing.mix(sizes, table(spark, folder, "mix_target"))
+
+
+def p7_selected(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder).selected
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder).shares
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.sharing_pairs(spans.shared_runs(table(spark, folder, "documents")))
 
@@ -46,4 +68,4 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return spans.sharing_report(docs, spans.shared_runs(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_top, p3_found, p8_found, p8_passages, p8_report)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_top, p3_found, p6_fill, p6_report, p7_selected, p7_shares, p8_found, p8_passages, p8_report)}
