@@ -10,11 +10,17 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+GC_S = 5.0
+
 _own_dir: str | None = None
+_collected = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +42,6 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._steps = 0
-        self._paths: dict[int, str] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
@@ -44,7 +49,6 @@ class Workspace:
         path = f"{self.root}/step-{self._steps:04d}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._vertexloom_path = path
         return out
 
@@ -54,10 +58,27 @@ class Workspace:
         out = self.cut(df.observe(seen, *(c.alias(k) for k, c in measures.items())))
         return out, seen.get
 
+    def cut_bucketed(self, df: DataFrame, key: str, buckets: int, **measures: Column) -> tuple[DataFrame, dict]:
+        """``cut_measured`` into a table hash-bucketed by ``key``: joins and aggregates on it need no exchange of this side.
+
+        A frame that is already hash-partitioned by ``key`` into as many partitions is written as it is, one file a task.
+        """
+        self._steps += 1
+        path, name = f"{self.root}/step-{self._steps:04d}", f"vertexloom_{uuid.uuid4().hex}"
+        seen = Observation(name)
+        if measures:
+            df = df.observe(seen, *(c.alias(k) for k, c in measures.items()))
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(name)
+        out = self.spark.table(name)
+        out._vertexloom_path, out._vertexloom_table = path, name
+        return out, (seen.get if measures else {})
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete step tables; their shuffle files go once the JVM has collected the plans."""
         for df in tables:
-            path = getattr(df, "_vertexloom_path", None)
+            path, name = getattr(df, "_vertexloom_path", None), getattr(df, "_vertexloom_table", None)
+            if name:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             if path:
                 jvm = self.spark.sparkContext._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
@@ -65,6 +86,23 @@ class Workspace:
         free_shuffles(self.spark)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Session settings (dots written as double underscores) for the plans that start within the block."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def free_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect finished plans, so that the context cleaner removes their shuffle files."""
-    spark.sparkContext._jvm.System.gc()
+    """Have the driver's JVM collect finished plans, so that the context cleaner removes their shuffle files; at most every GC_S seconds."""
+    global _collected
+    if time.monotonic() - _collected > GC_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.operators import hierarchy, salted, strict_load
+from vertexloom.operators import algorithms, engine, hierarchy, salted, strict_load
+from vertexloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +49,135 @@ def p5_edges(spark: SparkSession, folder: str) -> DataFrame:
     return strict_load.load_edges(table(spark, folder, "process_edgelist")).edges.select("line_no", "src_vert", "dst_vert")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_sizes, p4_found, p4_endpoint_stats, p5_found, p5_edges)}
+# The ranks' last digits depend on the order of the sums; as in the binary format, 24 bits of them count.
+RANK = "CAST(CAST(rank AS FLOAT) AS DOUBLE) AS rank"
+
+
+def graph_desc(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.part_graph(spark, folder).describe()
+
+
+def out_degree(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.part_graph(spark, folder).out_degrees()
+
+
+def in_degree(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.part_graph(spark, folder).in_degrees()
+
+
+def csr_index(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.part_graph(spark, folder).csr_index()
+
+
+def csc_index(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.part_graph(spark, folder).csc_index()
+
+
+def self_loops(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.trade_graph(spark, folder).edges.where("src = dst").groupBy("src").agg(F.count(F.lit(1)).alias("loops"))
+
+
+def spmv(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.spmv(tables.part_graph(spark, folder))
+
+
+def pagerank(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.pagerank(tables.part_graph(spark, folder)).selectExpr("id", RANK)
+
+
+def pagerank_trade(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.pagerank(tables.trade_graph(spark, folder), 3).selectExpr("id", RANK)
+
+
+def bfs(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.part_graph(spark, folder)
+    return algorithms.bfs(g, tables.busiest_source(g))
+
+
+def sssp(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.part_graph(spark, folder)
+    return algorithms.sssp(g, tables.busiest_source(g)).select("id", "value")
+
+
+def sssp_tree(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.part_graph(spark, folder)
+    return algorithms.sssp(g, tables.busiest_source(g))
+
+
+def wcc(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.wcc(tables.part_graph(spark, folder))
+
+
+def wcc_count(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.component_count(wcc(spark, folder))
+
+
+def scc(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.scc(tables.part_graph(spark, folder))
+
+
+def scc_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.scc(tables.part_graph(spark, folder, 48))
+
+
+def frontier_expand(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.part_graph(spark, folder)
+    return engine.expand(g, spark.createDataFrame([(tables.busiest_source(g),)], "id long"))
+
+
+def top100(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.first_rows(spmv(spark, folder))
+
+
+def slot_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.slot_graph(spark, folder).degrees()
+
+
+def slot_pagerank(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.pagerank(tables.slot_graph(spark, folder), 2).selectExpr("id", RANK)
+
+
+def slot_wcc(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.wcc(tables.slot_graph(spark, folder))
+
+
+def slot_bfs(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.slot_graph(spark, folder)
+    return algorithms.bfs(g, tables.busiest_source(g))
+
+
+def slot_scc(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.scc(tables.slot_graph(spark, folder))
+
+
+def bfs_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.part_graph(spark, folder)
+    return algorithms.bfs(g, tables.busiest_source(g), in_task=0)
+
+
+def sssp_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.part_graph(spark, folder)
+    return algorithms.sssp(g, tables.busiest_source(g), in_task=0).select("id", "value")
+
+
+def pagerank_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.pagerank(tables.part_graph(spark, folder), in_task=0).selectExpr("id", RANK)
+
+
+def wcc_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.wcc(tables.part_graph(spark, folder), in_task=0)
+
+
+def scc_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.scc(tables.part_graph(spark, folder), in_task=0)
+
+
+GRAPH = (
+    graph_desc, out_degree, in_degree, csr_index, csc_index, self_loops, spmv, pagerank, pagerank_trade, bfs, sssp, sssp_tree, wcc, wcc_count, scc, scc_sparse,
+    frontier_expand, top100, slot_degrees, slot_pagerank, slot_wcc, slot_bfs, slot_scc,
+    bfs_supersteps, sssp_supersteps, pagerank_supersteps, wcc_supersteps, scc_supersteps,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_sizes, p4_found, p4_endpoint_stats, p5_found, p5_edges, *GRAPH)}
 
 _P1_TREE = """
 WITH RECURSIVE cur AS (
@@ -78,7 +207,72 @@ ids AS (SELECT line_no, quoted, n,
 judged AS (SELECT line_no, s, d, CASE WHEN quoted IS NULL THEN 'column_count' WHEN NOT quoted THEN 'quoting' WHEN n <> 2 THEN 'column_count'
   WHEN s IS NULL OR s > 4294967294 THEN 'src_vert' WHEN d IS NULL OR d > 4294967294 THEN 'dst_vert' END AS reason FROM ids)"""
 
+
+
+def _part(quantity: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, b.l_quantity::DOUBLE AS weight FROM lineitem a JOIN lineitem b
+  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= {quantity})"""
+
+
+_TRADE = """WITH RECURSIVE e AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_quantity AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity = 50)"""
+_SLOTS = """WITH RECURSIVE e AS (SELECT DISTINCT slot, src, dest_vert AS dst FROM edge WHERE src BETWEEN 0 AND 4294967294 AND dest_vert BETWEEN 0 AND 4294967294)"""
+_V = """,
+v AS (SELECT range AS id FROM range((SELECT max(greatest(src, dst)) + 1 FROM e)::BIGINT)),
+deg AS (SELECT src, count(*) AS d FROM e GROUP BY src), root AS (SELECT src FROM deg ORDER BY d DESC, src LIMIT 1)"""
+_BFS = _V + """,
+t(id, l) AS (SELECT src, 0 FROM root UNION SELECT e.dst, t.l + 1 FROM t JOIN e ON e.src = t.id WHERE t.l < 60)
+SELECT v.id, min(t.l)::BIGINT AS level FROM v LEFT JOIN t USING (id) GROUP BY v.id"""
+_WCC = _V + """,
+u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+t(i, id, c) AS (SELECT 0, id, id FROM v
+  UNION ALL SELECT i + 1, id, min(c) FROM (SELECT i, id, c FROM t UNION ALL SELECT t.i, u.b, t.c FROM t JOIN u ON u.a = t.id) WHERE i < 40 GROUP BY i, id)
+"""
+_SCC = _V + """,
+cl(a, b) AS (SELECT id, id FROM v UNION SELECT cl.a, e.dst FROM cl JOIN e ON e.src = cl.b)
+SELECT x.a AS id, min(x.b) AS component_root FROM cl x JOIN cl y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
+_INDEX = _V + """,
+n AS (SELECT v.id, count(e.src) AS n FROM v LEFT JOIN e ON e.{key} = v.id GROUP BY v.id)
+SELECT id, CASE WHEN n = 0 THEN 0 ELSE (sum(n) OVER (ORDER BY id) - n + 1)::BIGINT END AS "offset" FROM n"""
+_SPMV = _V + """
+SELECT v.id, 1.0::DOUBLE AS origin_value, coalesce(sum(e.weight), 0)::DOUBLE AS spmv_value FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id"""
+
+
+def _rank(iterations: int) -> str:
+    return _V + f""",
+t(i, id, rk) AS (SELECT 0, id, 1.0::DOUBLE FROM v
+  UNION ALL SELECT i + 1, id, sum(x) FROM (SELECT i, id, rk AS x FROM t
+    UNION ALL SELECT t.i, e.dst, 0.85::DOUBLE * (t.rk / deg.d) + 0.15::DOUBLE FROM t JOIN e ON e.src = t.id JOIN deg ON deg.src = t.id) WHERE i < {iterations} GROUP BY i, id)
+SELECT id, rk::FLOAT::DOUBLE AS rank FROM t WHERE i = {iterations}"""
+
+
 SQL: dict[str, str] = {
+    "graph_desc": _part(46) + _V + """ SELECT min(least(src, dst)) AS min_vertex_id, max(greatest(src, dst)) AS max_vertex_id, count(*) AS num_of_edges,
+  (SELECT max(d) FROM deg) AS max_out_edges, 1::INTEGER AS edge_type, 1::INTEGER AS with_in_edge FROM e""",
+    "out_degree": _part(46) + _V + " SELECT v.id, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id",
+    "in_degree": _part(46) + _V + " SELECT v.id, count(e.src) AS in_degree FROM v LEFT JOIN e ON e.dst = v.id GROUP BY v.id",
+    "csr_index": _part(46) + _INDEX.format(key="src"),
+    "csc_index": _part(46) + _INDEX.format(key="dst"),
+    "self_loops": _TRADE + " SELECT src::BIGINT AS src, count(*) AS loops FROM e WHERE src = dst GROUP BY src",
+    "spmv": _part(46) + _SPMV,
+    "top100": _part(46) + _SPMV + " ORDER BY v.id LIMIT 100",
+    "pagerank": _part(46) + _rank(10),
+    "pagerank_trade": _TRADE + _rank(3),
+    "slot_pagerank": _SLOTS + _rank(2),
+    "bfs": _part(46) + _BFS,
+    "slot_bfs": _SLOTS + _BFS,
+    "sssp": _part(46) + _V + """,
+t(i, id, d) AS (SELECT 0, src, 0::DOUBLE FROM root
+  UNION ALL SELECT i + 1, id, min(d) FROM (SELECT i, id, d FROM t UNION ALL SELECT t.i, e.dst, t.d + e.weight FROM t JOIN e ON e.src = t.id AND e.src <> e.dst) WHERE i < 60 GROUP BY i, id)
+SELECT v.id, coalesce(t.d, 'Infinity'::DOUBLE) AS value FROM v LEFT JOIN t ON t.id = v.id AND t.i = 60""",
+    "wcc": _part(46) + _WCC + " SELECT id, c AS component_root FROM t WHERE i = 40",
+    "wcc_count": _part(46) + _WCC + " SELECT count(*) AS components FROM t WHERE i = 40 AND id = c",
+    "slot_wcc": _SLOTS + _WCC + " SELECT id, c AS component_root FROM t WHERE i = 40",
+    "scc": _part(46) + _SCC,
+    "scc_sparse": _part(48) + _SCC,
+    "frontier_expand": _part(46) + _V + " SELECT dst AS id, count(*) AS messages FROM e WHERE src = (SELECT src FROM root) AND src <> dst GROUP BY dst",
+    "slot_degrees": _SLOTS + _V + """, i AS (SELECT dst, count(*) AS n FROM e GROUP BY dst)
+SELECT v.id, coalesce(deg.d, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM v LEFT JOIN deg ON deg.src = v.id LEFT JOIN i ON i.dst = v.id""",
     "p1_found": _P1_TREE + """,
 walk AS (SELECT id AS start, p AS stop FROM lost
   UNION SELECT walk.start, lost.p FROM walk JOIN lost ON walk.stop = lost.id),
@@ -94,3 +288,5 @@ SELECT id, root, depth, nodes_below_and_self FROM down JOIN n USING (id)""",
     "p5_found": _P5 + " SELECT line_no, reason FROM judged WHERE reason IS NOT NULL",
     "p5_edges": _P5 + " SELECT line_no, s::BIGINT AS src_vert, d::BIGINT AS dst_vert FROM judged WHERE reason IS NULL",
 }
+# The same queries without the one-task kernels.
+SQL |= {f"{name}_supersteps": SQL[name] for name in ("bfs", "sssp", "pagerank", "wcc", "scc")}
