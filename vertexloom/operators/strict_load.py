@@ -19,7 +19,7 @@ from vertexloom.functions.vertex_ids import MAX_VERTEX
 
 BLANK = r"[ \t\r]"
 ID = r"[0-9]+"
-STRICT = rf'^{BLANK}*(?:({ID})|"({ID})"){BLANK}+(?:({ID})|"({ID})"){BLANK}*\z'
+STRICT = rf'\A{BLANK}*(?:{ID}|"{ID}"){BLANK}+(?:{ID}|"{ID}"){BLANK}*\z'
 #: A well-formed quoted field: opened after a blank or the start, closed before a blank or the end.
 QUOTED = r'(?<![^ \t\r])"[^"]*"(?![^ \t\r])'
 FIELD = r'"[^"]*"|[^" \t\r]+'
@@ -34,17 +34,16 @@ class Loaded:
     rejected: DataFrame
 
 
-def vertex_value(text: Column) -> Column:
-    """The LONG that a string of digits 0-9 stands for, leading zeros allowed; NULL if it is no vertex id."""
-    digits = F.regexp_replace(text, "^0+(?=[0-9])", "")
-    value = F.when(text.rlike(r"\A[0-9]+\z") & (F.length(digits) <= 10), digits.cast("long"))
+def _in_range(digits: Column) -> Column:
+    """The LONG that digits stand for, leading zeros allowed; NULL if it is beyond the vertex ids."""
+    short = F.ltrim(digits, F.lit("0"))
+    value = F.when(short == "", F.lit(0).cast("long")).when(F.length(short) <= 10, short.cast("long"))
     return F.when(value <= MAX_VERTEX, value)
 
 
-def _ends(line: Column) -> tuple[Column, Column]:
-    part = lambda i: F.regexp_extract(line, STRICT, i)
-    pick = lambda a, b: F.when(F.length(part(a)) > 0, part(a)).otherwise(part(b))
-    return vertex_value(pick(1, 2)), vertex_value(pick(3, 4))
+def vertex_value(text: Column) -> Column:
+    """The LONG that a string of digits 0-9 stands for, leading zeros allowed; NULL if it is no vertex id."""
+    return F.when(text.rlike(r"\A[0-9]+\z"), _in_range(text))
 
 
 def reason(line: Column) -> Column:
@@ -69,8 +68,10 @@ def load_edges(raw: DataFrame, line_col: str = "raw_line", offset: list[str] | N
     lines = raw.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(offset)], F.col(line_col).alias("_line"))
     lines = lines.where(~F.coalesce(F.startswith("_line", F.lit("#")), F.lit(False))).withColumn("_key", F.xxhash64("_line"))
     at = [f"_o{i}" for i in range(len(offset))]
-    src, dst = _ends(F.col("_line"))
-    loaded = lines.where(F.col("_line").rlike(STRICT)).select(*at, "_key", src.alias("src_vert"), dst.alias("dst_vert")).where("src_vert IS NOT NULL AND dst_vert IS NOT NULL")
+    # A conforming line holds two runs of digits and nothing but blanks and quotes around them.
+    ends = lines.where(F.col("_line").rlike(STRICT)).select(*at, "_key", F.regexp_extract_all("_line", F.lit(ID), F.lit(0)).alias("_ends"))
+    loaded = ends.select(*at, "_key", _in_range(F.col("_ends")[0]).alias("src_vert"), _in_range(F.col("_ends")[1]).alias("dst_vert"))
+    loaded = loaded.where("src_vert IS NOT NULL AND dst_vert IS NOT NULL")
     took = loaded.select(*[F.col(c).alias(f"{c}_") for c in [*at, "_key"]])
     same = F.col("_key") == F.col("_key_")
     for c in at:
