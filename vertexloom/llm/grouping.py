@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.arrow import slices
+from vertexloom.functions.local_graph import stars
 from vertexloom.functions.vertex_ids import NO_VERTEX, vertex_or_null
 from vertexloom.plans.lineage import Workspace
 
@@ -29,27 +30,6 @@ TAIL = 500
 LAST = 20_000
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the components of these links: every vertex with its component's smallest id; vertices without links with their own."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while len(x):
-        low = label.copy()
-        np.minimum.at(low, x, y)
-        np.minimum.at(low, y, x)
-        while True:  # labels of labels
-            higher = low[low]
-            if (higher == low).all():
-                break
-            low = higher
-        label = low[label]
-        x, y = low[x], low[y]
-        keep = x != y
-        x, y = x[keep], y[keep]
-    return ids, ids[label]
-
-
 def _contract(batches):
     held, rows = [], 0
 

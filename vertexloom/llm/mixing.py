@@ -35,13 +35,18 @@ class Node:
     budget: int = 0
 
 
+def _exact(weight: float) -> Fraction:
+    """The decimal a weight was written as, not its binary neighbour."""
+    return Fraction(weight).limit_denominator(10**12)
+
+
 def distribute(node: Node, budget: int) -> None:
     """Split a budget that ``node`` can supply among its children by weight; what exceeds one's supply goes to its siblings."""
     node.budget = budget = min(budget, node.supply)
     open_, left = [c for c in node.children.values() if c.supply > 0], budget
     while open_ and left > 0:
-        total = sum(Fraction(c.weight) for c in open_)
-        share = {id(c): Fraction(left) * (Fraction(c.weight) / total if total else Fraction(1, len(open_))) for c in open_}
+        total = sum(_exact(c.weight) for c in open_)
+        share = {id(c): Fraction(left) * (_exact(c.weight) / total if total else Fraction(1, len(open_))) for c in open_}
         full = [c for c in open_ if share[id(c)] >= c.supply]
         if not full:
             # Whole tokens by the largest remainders.
@@ -62,8 +67,8 @@ def distribute(node: Node, budget: int) -> None:
 def largest_even_total(children: list[Node]) -> int:
     """The largest total at which every child with a supply can give its share of the weights of those that have one."""
     able = [c for c in children if c.supply > 0 and c.weight > 0]
-    weight = sum(Fraction(c.weight) for c in able)
-    return int(min((c.supply * weight / Fraction(c.weight) for c in able), default=Fraction(0)))
+    weight = sum(_exact(c.weight) for c in able)
+    return int(min((c.supply * weight / _exact(c.weight) for c in able), default=Fraction(0)))
 
 
 @dataclass(frozen=True)

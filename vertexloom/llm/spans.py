@@ -27,8 +27,9 @@ SPAN, UNIT = 200, 100
 BLOCK, LOW_BITS = 1 << 21, 24
 #: Texts a task remembers to leave out copies before anything is shuffled.
 REMEMBERED = 1 << 20
-#: A digest with more classes than this is compared in blocks of this many, each pair of blocks in a task of its own choice.
-GROUP = 1024
+#: A digest with more occurrences than this is compared in blocks of this many, each pair of blocks by itself; the inner
+#: occurrences of periodic stretches form blocks of their own, which are only compared with the others.
+GROUP, MIDDLES = 1024, 8192
 # Fixed odd constants of the hash.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -92,20 +93,29 @@ def fingerprints(texts: list[np.ndarray], span: int, unit: int, powers: tuple[np
     return doc, at - starts[doc], h[at].view(np.int64)
 
 
-def _thinned(key: np.ndarray, pos: np.ndarray, digest: np.ndarray, gap: int) -> np.ndarray:
-    """Rows to keep. Where a digest recurs within ``gap`` (periodic text), its first two and last two occurrences are enough:
-    a common run either leaves the stretch at a side, or may be moved along it."""
+def _thinned(key: np.ndarray, pos: np.ndarray, digest: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to keep, and whether each is an edge row.
+
+    Where a digest recurs at distances of at most half a unit, the text is periodic. Of such a stretch the first two and last
+    two occurrences are edges, and of those between one in each half unit is kept; elsewhere every row is an edge. Two rows
+    that are no edges needn't be compared: a run that two texts have in common leaves a stretch at one of its ends, or may be
+    moved along it until it meets an edge.
+    """
+    step = max(1, unit // 2)
     order = np.lexsort((pos, digest, key))
     k, d, p = key[order], digest[order], pos[order]
-    same = (k[1:] == k[:-1]) & (d[1:] == d[:-1]) & (p[1:] - p[:-1] <= gap)
+    same = (k[1:] == k[:-1]) & (d[1:] == d[:-1]) & (p[1:] - p[:-1] <= unit // 2)
     if not same.any():
-        return np.arange(len(key))
+        return np.arange(len(key)), np.ones(len(key), np.int8)
     first = np.concatenate([[True], ~same])
     at = np.flatnonzero(first)
     run = np.cumsum(first) - 1
     sizes = np.diff(np.append(at, len(k)))
     nth = np.arange(len(k)) - at[run]
-    return np.sort(order[(nth < 2) | (nth >= sizes[run] - 2)])
+    edge = (nth < 2) | (nth >= sizes[run] - 2)
+    cell = (p - p[at[run]]) // step
+    keep = edge | np.concatenate([[True], cell[1:] != cell[:-1]])
+    return order[keep], edge[keep].astype(np.int8)
 
 
 def _fingerprinter(span: int, unit: int):
@@ -120,8 +130,8 @@ def _fingerprinter(span: int, unit: int):
             doc, pos, digest = fingerprints(texts, span, unit, powers)
             key, base = np.array([k for k, _ in keys], np.int64), np.array([b for _, b in keys], np.int64)
             cls, pos = key[doc], pos + base[doc]
-            keep = _thinned(cls, pos, digest, span)
-            return slices({"digest": digest[keep], "cls": cls[keep], "pos": pos[keep].astype(np.int32)})
+            keep, edge = _thinned(cls, pos, digest, unit)
+            return slices({"digest": digest[keep], "cls": cls[keep], "pos": pos[keep].astype(np.int32), "edge": edge})
 
         for batch in batches:
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -153,19 +163,20 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's occurrences, those whose digest more than one class holds, with the blocks their group is split into."""
+    """Of a partition's occurrences, those whose digest more than one class holds, with the numbers of blocks of their group."""
     c = gather(batches)
     if not c or not len(c["digest"]):
         return
     order = np.lexsort((c["pos"], c["cls"], c["digest"]))
-    digest, cls, pos = c["digest"][order], c["cls"][order], c["pos"][order]
+    digest, cls, pos, edge = (c[n][order] for n in ("digest", "cls", "pos", "edge"))
     fresh = np.concatenate([[True], (digest[1:] != digest[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])])  # copies from other tasks
-    digest, cls, pos = digest[fresh], cls[fresh], pos[fresh]
+    digest, cls, pos, edge = digest[fresh], cls[fresh], pos[fresh], edge[fresh]
     start, size = _runs(digest)
     several = np.repeat(cls[start] != cls[start + size - 1], size)
-    blocks = np.repeat(-(-size // GROUP), size)
+    edges = np.add.reduceat(edge.astype(np.int64), start)
     if several.any():
-        yield from slices({"digest": digest[several], "cls": cls[several], "pos": pos[several], "blocks": blocks[several].astype(np.int32)})
+        rows = {"digest": digest, "cls": cls, "pos": pos, "edge": edge, "be": np.repeat(-(-edges // GROUP), size).astype(np.int32), "bm": np.repeat(-(-(size - edges) // MIDDLES), size).astype(np.int32)}
+        yield from slices({k: v[several] for k, v in rows.items()})
 
 
 def _excerpts(span: int, unit: int):
@@ -173,16 +184,16 @@ def _excerpts(span: int, unit: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"digest": [], "cls": [], "pos": [], "blocks": [], "lead": [], "excerpt": []}
+            out: dict[str, list] = {k: [] for k in ("digest", "cls", "pos", "edge", "be", "bm", "lead", "excerpt")}
             for cls, text, places in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("places").to_pylist()):
                 text = text.as_py()
                 for place in places:
                     pos = place["pos"]
                     at = max(0, pos - side)
-                    for name, value in (("digest", place["digest"]), ("cls", cls), ("pos", pos), ("blocks", place["blocks"]), ("lead", pos - at), ("excerpt", text[at : pos + span])):
+                    for name, value in (*place.items(), ("cls", cls), ("lead", pos - at), ("excerpt", text[at : pos + span])):
                         out[name].append(value)
             if out["cls"]:
-                kinds = {"digest": pa.int64(), "cls": pa.int64(), "pos": pa.int32(), "blocks": pa.int32(), "lead": pa.int32(), "excerpt": pa.string()}
+                kinds = {"digest": pa.int64(), "cls": pa.int64(), "pos": pa.int32(), "edge": pa.int8(), "be": pa.int32(), "bm": pa.int32(), "lead": pa.int32(), "excerpt": pa.string()}
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
 
     return run
@@ -190,10 +201,12 @@ def _excerpts(span: int, unit: int):
 
 def _prefix(equal: np.ndarray) -> np.ndarray:
     """Length of the run of True from the left, per row."""
+    if not equal.shape[1]:
+        return np.zeros(len(equal), np.int64)
     return np.where(equal.all(axis=1), equal.shape[1], equal.argmin(axis=1))
 
 
-def _compare(span: int, unit: int, most: int = 1 << 15):
+def _compare(span: int, unit: int, most: int = 1 << 14):
     side = span - unit
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +214,16 @@ def _compare(span: int, unit: int, most: int = 1 << 15):
         if not held:
             return
         table = pa.Table.from_batches(held)
-        cols = {n: table.column(n).to_numpy() for n in ("digest", "bi", "bj", "cls", "pos", "lead", "b")}
-        order = np.lexsort((cols["cls"], cols["bj"], cols["bi"], cols["digest"]))
+        cols = {n: table.column(n).to_numpy() for n in ("digest", "bi", "bj", "cls", "pos", "edge", "lead", "b")}
+        order = np.lexsort((cols["cls"], -cols["edge"], cols["bj"], cols["bi"], cols["digest"]))
         cols = {n: v[order] for n, v in cols.items()}
         excerpt = table.column("excerpt").combine_chunks().take(pa.array(order))
         changed = np.concatenate([[True], np.any([cols[n][1:] != cols[n][:-1] for n in ("digest", "bi", "bj")], axis=0)])
         start, size = _runs(np.cumsum(changed))
 
         def checked(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ok = (cols["cls"][i] != cols["cls"][j]) & ((cols["bi"][i] == cols["bj"][i]) | (cols["b"][i] != cols["b"][j]))
+            # In a cell of two different blocks, pairs within one of them belong to another cell.
+            ok = (cols["cls"][i] != cols["cls"][j]) & ((cols["bj"][i] < 0) | (cols["bi"][i] == cols["bj"][i]) | (cols["b"][i] != cols["b"][j]))
             i, j = i[ok], j[ok]
             for at in range(0, len(i), most):
                 x, y = i[at : at + most], j[at : at + most]
@@ -233,11 +247,17 @@ def _compare(span: int, unit: int, most: int = 1 << 15):
                         "start_b": (cols["pos"][y] - left).astype(np.int32), "length": (left + unit + right).astype(np.int32),
                     })
 
-        for n in np.unique(size):
+        mixed = cols["bj"][start] < 0
+        for at, n in zip(start[mixed], size[mixed]):
+            edges = int(np.count_nonzero(cols["edge"][at : at + n]))
+            middles = np.arange(at + edges, at + n)
+            for i in range(at, at + edges):
+                yield from checked(np.full(len(middles), i), middles)
+        for n in np.unique(size[~mixed]):
             if n < 2:
                 continue
             first, second = np.triu_indices(int(n), 1)
-            groups = start[size == n]
+            groups = start[~mixed & (size == n)]
             step = max(1, (4 * most) // len(first))
             for at in range(0, len(groups), step):
                 g = groups[at : at + step, None]
@@ -268,17 +288,20 @@ def shared_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= span))
     rows = rows.withColumn("cls", F.xxhash64("text"))
     members = ws.cut(rows.select("doc_id", "cls", F.length("text").alias("n_chars")).distinct())
-    occurrences = rows.select("cls", "text").mapInArrow(_fingerprinter(span, unit), "digest long, cls long, pos int")
-    shared = ws.cut(occurrences.repartition(parts, "digest").mapInArrow(_shared, "digest long, cls long, pos int, blocks int"))
-    places = shared.groupBy("cls").agg(F.collect_list(F.struct("digest", "pos", "blocks")).alias("places"))
+    occurrences = rows.select("cls", "text").mapInArrow(_fingerprinter(span, unit), "digest long, cls long, pos int, edge byte")
+    shared = ws.cut(occurrences.repartition(parts, "digest").mapInArrow(_shared, "digest long, cls long, pos int, edge byte, be int, bm int"))
+    places = shared.groupBy("cls").agg(F.collect_list(F.struct("digest", "pos", "edge", "be", "bm")).alias("places"))
     reps = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = places.join(reps, "cls")
     texts = wanted.join(rows.select("doc_id", "cls", "text"), ["doc_id", "cls"]).select("cls", "text", "places")
-    excerpts = texts.mapInArrow(_excerpts(span, unit), "digest long, cls long, pos int, blocks int, lead int, excerpt string")
-    # A group of one block is compared as it is; a larger one in all pairs of its blocks.
-    excerpts = excerpts.withColumn("b", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-    cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "b").alias("bi"), F.greatest(x, "b").alias("bj")))
-    cells = excerpts.select("digest", "cls", "pos", "lead", "excerpt", "b", F.explode(cell).alias("_c")).select("digest", "_c.bi", "_c.bj", "cls", "pos", "lead", "b", "excerpt")
+    excerpts = texts.mapInArrow(_excerpts(span, unit), "digest long, cls long, pos int, edge byte, be int, bm int, lead int, excerpt string")
+    # Cells of a group: (i, j) compares the edge rows of two blocks, (i, -1 - j) those of a block with the inner rows of another.
+    excerpts = excerpts.withColumn("b", F.pmod(F.xxhash64("cls", "pos"), F.when(F.col("edge") == 1, F.col("be")).otherwise(F.col("bm"))).cast("int"))
+    each = F.sequence(F.lit(0), F.col("be") - 1)
+    at = lambda i, j: F.struct(i.cast("int").alias("bi"), j.cast("int").alias("bj"))
+    inner = F.when(F.col("bm") > 0, F.transform(F.sequence(F.lit(1), F.col("bm")), lambda m: at(F.col("b"), -m))).otherwise(F.array().cast("array<struct<bi:int,bj:int>>"))
+    cell = F.when(F.col("edge") == 1, F.concat(F.transform(each, lambda x: at(F.least(x, F.col("b")), F.greatest(x, F.col("b")))), inner)).otherwise(F.transform(each, lambda x: at(x, -1 - F.col("b"))))
+    cells = excerpts.select("digest", "cls", "pos", "edge", "lead", "excerpt", "b", F.explode(cell).alias("_c")).select("digest", "_c.bi", "_c.bj", "cls", "pos", "edge", "lead", "b", "excerpt")
     kinds = "cls_a long, start_a int, cls_b long, start_b int, length int"
     matches = ws.cut(cells.repartition(parts, "digest", "bi", "bj").mapInArrow(_compare(span, unit), kinds))
     ws.drop(shared)

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("VERTEXLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # The pattern that splits text before the merges: fixed with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A longer run without a space is tokenized in pieces, for the merges of one word take quadratic time.
-LONGEST_WORD = 100_000
 
 
 def encoder(vocabulary: str):
@@ -27,9 +25,8 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _pieces(text: str) -> Iterator[str]:
-    for at in range(0, len(text), LONGEST_WORD):
-        yield text[at : at + LONGEST_WORD]
+def count(enc, text: str | None) -> int:
+    return len(enc.encode_ordinary(text or ""))
 
 
 def _sizer(vocabulary: str):
@@ -38,7 +35,7 @@ def _sizer(vocabulary: str):
         for b in batches:
             enc = enc or encoder(vocabulary)
             texts = b.column(b.num_columns - 1)
-            sizes = np.fromiter((sum(len(enc.encode_ordinary(p)) for p in _pieces(t.as_py() or "")) for t in texts), np.int64, len(texts))
+            sizes = np.fromiter((count(enc, t.as_py()) for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes)], names=[*b.schema.names[:-1], "n_tokens"])
 
     return run
