@@ -125,7 +125,7 @@ def test_one_exchange_per_superstep(spark):
 
     g = graph(spark, [(i, (i * 7) % 50, 1) for i in range(50)] * 3)
     p = A.wcc_program()
-    run = engine.Run(Workspace(spark, "plan"), engine.arcs(g, p), p, edges_per_bucket=100)
+    run = engine.Run(Workspace(spark, "plan"), engine.arcs(g, p), 300, p, edges_per_bucket=100)
     state, _ = run.start(g.vertices())
     assert run.buckets == 3
     with settings(spark, spark__sql__shuffle__partitions=run.buckets):
@@ -135,8 +135,13 @@ def test_one_exchange_per_superstep(spark):
 
 def test_own_program(spark, golden):
     """The user's surface: the largest id that reaches each vertex, against the edges."""
-    largest = VertexProgram("largest", {"top": "id"}, "top", "max(msg)", "msg > top", {"top": "msg"}, direction="in")
+    seen = []
+    largest = VertexProgram(
+        "largest", {"top": "id"}, "top", "max(msg)", "msg > top", {"top": "msg"}, direction="in",
+        before_iteration=lambda step: seen.append(step), after_iteration=lambda step, active: True, finalize=lambda steps: seen.append(-steps),
+    )
     assert column(engine.run(golden, largest), "top") == [4, 4, 4, 4, 4, 5, 9, 9, 9, 9]
+    assert seen == [*range(len(seen) - 1), 1 - len(seen)]
 
 
 def test_update_skew(spark, golden):

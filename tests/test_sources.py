@@ -94,3 +94,26 @@ def test_edge_stream(spark, tmp_path):
     query = stream.running_degrees(edges).writeStream.outputMode("complete").format("memory").queryName("degrees").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("degrees").collect())) == [(1, 2, 0), (2, 1, 2), (3, 0, 1)]
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_binary_graph(spark, tmp_path, monkeypatch, weighted):
+    """Written here from the layout's definition: slot 0 unused, zero-padded index, pieces smaller than the graph."""
+    import numpy as np
+
+    from vertexloom.sources import binary
+
+    monkeypatch.setattr(binary, "VERTICES_PER_TASK", 3)
+    monkeypatch.setattr(binary, "EDGES_PER_READ", 2)
+    ends = sorted(tuple(map(int, e.split())) for e in EDGES)
+    record = binary.WEIGHTED if weighted else binary.PLAIN
+    edge, index = np.zeros(len(ends) + 1, record), np.zeros(16, "<u8")
+    for slot, (src, dst, weight) in enumerate(ends, 1):
+        edge[slot] = (dst, weight) if weighted else (dst,)
+        index[src] = index[src] or slot
+    edge.tofile(tmp_path / "g.edge")
+    index.tofile(tmp_path / "g.index")
+    g = binary.binary_graph(spark, str(tmp_path / "g"), 9, len(ends), weighted)
+    assert rows(g) == ([(a, b, float(w)) for a, b, w in ends] if weighted else [(a, b) for a, b, _ in ends])
+    with pytest.raises(FileNotFoundError):
+        binary.binary_graph(spark, str(tmp_path / "h"), 9, 13, weighted)

@@ -35,7 +35,8 @@ class VertexProgram:
     ``accept``: whether the combined ``msg`` (NULL if none came) changes a vertex; ``apply``: the new values of those it changes.
     ``direction``: along the edges (``out``), against them (``in``) or ``both``. ``frontier``: the vertices that changed send
     (``active``), or all do (``all``). A run ends when none is active, or after ``supersteps``. ``kernel`` gives the same output
-    columns from the size of the domain and the arcs as arrays, for graphs that fit one task.
+    columns from the size of the domain and the arcs as arrays, for graphs that fit one task. The hooks run on the driver around
+    the supersteps: ``after_iteration`` gets their number and how many vertices are active, and ends the run by False.
     """
 
     name: str
@@ -56,6 +57,7 @@ class VertexProgram:
     kernel: Callable[[int, dict[str, np.ndarray]], dict] | None = None
     before_iteration: Callable[[int], None] | None = None
     after_iteration: Callable[[int, int], bool] | None = None
+    finalize: Callable[[int], None] | None = None
 
 
 def check(graph: Graph, program: VertexProgram) -> None:
@@ -79,12 +81,10 @@ def arcs(graph: Graph, program: VertexProgram) -> DataFrame:
 class Run:
     """The supersteps of one program over one set of arcs."""
 
-    def __init__(self, ws: Workspace, arcs_: DataFrame, program: VertexProgram, edges_per_bucket: int = EDGES_PER_BUCKET):
+    def __init__(self, ws: Workspace, arcs_: DataFrame, n: int, program: VertexProgram, edges_per_bucket: int = EDGES_PER_BUCKET):
         self.ws, self.program, self.steps = ws, program, 0
-        arcs_, seen = ws.cut_measured(arcs_, n=F.count(F.lit(1)))
-        self.buckets = parts(seen["n"], edges_per_bucket)
+        self.buckets = parts(n, edges_per_bucket)
         self.arcs, _ = ws.cut_bucketed(arcs_.repartition(self.buckets, "src"), "src", self.buckets)
-        ws.drop(arcs_)
 
     def _write(self, state: DataFrame) -> tuple[DataFrame, int]:
         # The exchange of the messages gets as many partitions as there are buckets, so that the state's side stays in place.
@@ -120,6 +120,8 @@ class Run:
                 break
             if most is not None and active and self.steps > most:
                 raise ValueError(f"{p.name} does not converge: is there a cycle of negative weight?")
+        if p.finalize:
+            p.finalize(self.steps)
         self.ws.drop(self.arcs)
         return state
 
@@ -147,7 +149,8 @@ def run(graph: Graph, program: VertexProgram, edges_per_bucket: int = EDGES_PER_
     if program.kernel and fits_task(graph, in_task):
         kinds = dict(graph.vertices().selectExpr(*(f"{e} AS {c}" for c, e in program.state.items() if c in output)).dtypes)
         return in_one_task(graph, arcs(graph, program), program.kernel, "id long, " + ", ".join(f"{c} {kinds[c]}" for c in output))
-    state = Run(ws, arcs(graph, program), program, edges_per_bucket).fixpoint(vertices, graph.max_id + 1)
+    n = graph.num_edges if graph.num_edges is not None else graph.edges.count()
+    state = Run(ws, arcs(graph, program), n * (2 if program.direction == "both" else 1), program, edges_per_bucket).fixpoint(vertices, graph.max_id + 1)
     return state.select("id", *output)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexloom.functions.vertex_ids import is_vertex
+from vertexloom.plans.lineage import Workspace
 
 #: Pieces of the id domain for running sums over it.
 PIECES = 4096
@@ -28,13 +29,18 @@ class Graph:
         return self.edges.sparkSession
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, max_id: int | None = None) -> Graph:
-        """Rows whose ends aren't both vertex ids are no edges. One aggregation counts them and finds the largest id."""
+    def from_edges(cls, edges: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None, max_id: int | None = None, store: bool = False) -> Graph:
+        """Rows whose ends aren't both vertex ids are no edges. They are counted, and the largest id found, in one pass; with
+        ``store`` that pass also writes them to the shared folder, so that edges that are joined or parsed are made only once."""
         cols = [F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")]
         if weight:
             cols.append(F.col(weight).cast("double").alias("weight"))
         edges = edges.where(is_vertex(src) & is_vertex(dst)).select(*cols)
-        seen = edges.agg(F.max(F.greatest("src", "dst")).alias("top"), F.count(F.lit(1)).alias("n")).first()
+        measures = {"top": F.max(F.greatest("src", "dst")), "n": F.count(F.lit(1))}
+        if store:
+            edges, seen = Workspace(edges.sparkSession, "edges").cut_measured(edges, **measures)
+        else:
+            seen = edges.agg(*(c.alias(k) for k, c in measures.items())).first()
         top = -1 if seen["top"] is None else seen["top"]
         return cls(edges, top if max_id is None else max(max_id, top), weight is not None, num_edges=seen["n"])
 

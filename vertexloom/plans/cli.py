@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import time
 
 from vertexloom.operators import algorithms
@@ -39,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("-d", "--destination", help="where the result is written")
     run.add_argument("-m", "--memory", type=int, help="MB of the driver, in local mode")
     run.add_argument("-p", "--processors", type=int, help="local cores, where no master is set")
+    run.add_argument("--log-file", help="also log to this file; by default print-<application>-<time>.log in --log-folder, if that is given")
+    run.add_argument("--log-folder")
     run.add_argument("--niters", "--pagerank::niters", type=int)
     run.add_argument("--source", "--sssp::source", type=int)
     run.add_argument("--bfs-root", "--bfs::bfs-root", type=int)
@@ -48,6 +51,9 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
     args = parser().parse_args(argv)
+    if args.command == "run" and (args.log_file or args.log_folder):
+        name = args.log_file or os.path.join(args.log_folder, f"print-{args.application}-{time.strftime('%Y%m%d-%H%M%S')}.log")
+        log.addHandler(logging.FileHandler(name))
     settings = {}
     if args.command == "run" and args.memory:
         settings["spark__driver__memory"] = f"{args.memory}m"

@@ -18,7 +18,7 @@ def part_graph(spark: SparkSession, folder: str, least_quantity: int = 46) -> Gr
     lines = _table(spark, folder, "lineitem")
     a = lines.where(F.col("l_quantity") >= least_quantity).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
     b = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight"))
-    return Graph.from_edges(a.join(b, ["l_orderkey", "l_linenumber"]), weight="weight")
+    return Graph.from_edges(a.join(b, ["l_orderkey", "l_linenumber"]), weight="weight", store=True)
 
 
 def trade_graph(spark: SparkSession, folder: str, quantity: int = 50) -> Graph:
@@ -28,13 +28,13 @@ def trade_graph(spark: SparkSession, folder: str, quantity: int = 50) -> Graph:
     customers = _table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src"))
     suppliers = _table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
     edges = lines.join(orders, "l_orderkey").join(customers, "o_custkey").join(suppliers, "l_suppkey")
-    return Graph.from_edges(edges, weight="l_quantity")
+    return Graph.from_edges(edges, weight="l_quantity", store=True)
 
 
 def slot_graph(spark: SparkSession, folder: str) -> Graph:
     """The table of out-edge slots: a slot that was written twice is one edge, slots without a destination are none."""
     slots = _table(spark, folder, "edge").where(is_vertex("src") & is_vertex("dest_vert")).select("slot", "src", "dest_vert")
-    return Graph.from_edges(slots.groupBy("slot", "src", "dest_vert").agg(F.lit(1)), dst="dest_vert")
+    return Graph.from_edges(slots.groupBy("slot", "src", "dest_vert").agg(F.lit(1)), dst="dest_vert", store=True)
 
 
 def busiest_source(graph: Graph) -> int:

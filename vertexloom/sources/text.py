@@ -41,8 +41,8 @@ def edge_list(spark: SparkSession, path: str, weighted: bool = False, seed: int
     good = F.col("n").between(2, 3) & F.col("src").isNotNull() & F.col("dst").isNotNull() & ((F.col("n") == 2) | F.col("given").isNotNull())
     rows = rows.where(good if on_error == "drop" else _or_fail(good, F.col("line"), "no edge"))
     if not weighted:
-        return Graph.from_edges(rows.select("src", "dst"))
-    return Graph.from_edges(rows.select("src", "dst", F.coalesce("given", hashed_weight(seed, "src", "dst")).alias("weight")), weight="weight")
+        return Graph.from_edges(rows.select("src", "dst"), store=True)
+    return Graph.from_edges(rows.select("src", "dst", F.coalesce("given", hashed_weight(seed, "src", "dst")).alias("weight")), weight="weight", store=True)
 
 
 def adjacency_list(spark: SparkSession, path: str, weighted: bool = False, seed: int = 0) -> Graph:
@@ -59,5 +59,5 @@ def adjacency_list(spark: SparkSession, path: str, weighted: bool = False, seed:
     top = rows.agg(F.max("src")).first()[0]
     edges = rows.select("src", F.posexplode("dsts").alias("pos", "dst"))
     if weighted:
-        return Graph.from_edges(edges.select("src", "dst", hashed_weight(seed, "src", "dst", "pos").alias("weight")), weight="weight", max_id=top)
-    return Graph.from_edges(edges.select("src", "dst"), max_id=top)
+        return Graph.from_edges(edges.select("src", "dst", hashed_weight(seed, "src", "dst", "pos").alias("weight")), weight="weight", max_id=top, store=True)
+    return Graph.from_edges(edges.select("src", "dst"), max_id=top, store=True)
