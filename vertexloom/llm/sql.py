@@ -11,4 +11,8 @@ sym AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <
 t(i, v, c) AS (SELECT 0, v, v FROM verts
   UNION ALL SELECT i + 1, v, min(c) FROM (SELECT i, v, c FROM t UNION ALL SELECT t.i, sym.b, t.c FROM t JOIN sym ON sym.a = t.v) WHERE i < 60 GROUP BY i, v)
 SELECT c AS component_root, v AS vert FROM t WHERE i = 60""",
+    "p8_found": """WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), m AS (SELECT doc_id, h FROM w SEMI JOIN s USING (h))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
 }
