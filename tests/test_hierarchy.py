@@ -78,6 +78,10 @@ def test_paths_and_descendants(spark, rows):
     below = {i: {j for j in trees if j != i and i in path(j)} for i in trees}
     assert all(got[i]["size"] == len(below[i]) + 1 for i in trees)
     assert all(got[i]["size"] is None and got[i]["chain"] is None for i in parents if i not in trees)
+    members = {i: sorted((r["pos"], r["id"]) for r in got.values() if r["chain"] == i) for i in trees}
+    hops = {r["id"]: r["hops"] for r in H.path_hops(nodes).collect()}
+    assert {i: [m for c, upto in h for _, m in members[c][: upto + 1]] for i, h in hops.items()} == {i: path(i) for i in trees}
+    assert max(map(len, hops.values())) <= 8
     ids = spark.createDataFrame([(i,) for i in [*parents, 5, 10**7]], "id long")
     assert {r["id"]: r["path"] for r in H.full_paths(nodes, ids).collect()} == {i: path(i) for i in trees}
     found = {i: set() for i in trees}

@@ -224,3 +224,29 @@ def descendants(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """
     tops = ids.select(F.col("id").cast("long")).distinct().join(nodes, "id").select("id", F.col("root").alias("_root"), F.col("pre").alias("_lo"), (F.col("pre") + F.col("size")).alias("_hi"))
     return tops.join(nodes.withColumnRenamed("id", "below"), (F.col("root") == F.col("_root")) & (F.col("pre") > F.col("_lo")) & (F.col("pre") < F.col("_hi"))).select("id", "below")
+
+
+def path_hops(nodes: DataFrame) -> DataFrame:
+    """``(id, root, depth, hops)``: the full path of every node of ``hierarchy``, run-length encoded and lossless.
+
+    ``hops`` is an array of ``(chain, upto)``, root first: the members of each chain from its top to position ``upto`` in turn
+    are the path. It has at most log2(size of the tree) + 1 entries however deep the node is, so all paths together take space
+    proportional to the nodes, where the listed paths would take the sum of the depths. Nodes on or behind loops have no row.
+    """
+    ws = Workspace(nodes.sparkSession, "hops")
+    tree = ws.cut(nodes.where("chain IS NOT NULL").select("id", "parent", "root", "depth", "chain", "pos"))
+    tops = tree.where("pos = 0").select("chain", "parent")
+    kind = "array<struct<chain:bigint,upto:bigint>>"
+    hang = ws.cut(tops.join(tree.select(F.col("id").alias("parent"), F.col("chain").alias("above"), F.col("pos").alias("upto")), "parent").select("chain", "above", "upto"))
+    last = ws.cut(tops.where("parent IS NULL").select("chain", F.array().cast(kind).alias("before")))
+    done = [last]
+    while True:  # a level of chains at a time: each chain is reached once
+        above = last.select(F.col("chain").alias("above"), F.col("before").alias("_b"))
+        last, seen = ws.cut_measured(hang.join(above, "above").select("chain", F.concat("_b", F.array(F.struct(F.col("above").alias("chain"), "upto"))).alias("before")), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            break
+        done.append(last)
+    before = done[0]
+    for d in done[1:]:
+        before = before.unionByName(d)
+    return tree.join(before, "chain").select("id", "root", "depth", F.concat("before", F.array(F.struct("chain", F.col("pos").alias("upto")))).alias("hops"))

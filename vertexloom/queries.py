@@ -29,6 +29,10 @@ def p1_chains(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.chains(p1_hierarchy(spark, folder))
 
 
+def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.path_hops(p1_hierarchy(spark, folder))
+
+
 def p1_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p1_hierarchy(spark, folder).where("depth >= 0").select("id", "root", "depth", F.col("size").alias("nodes_below_and_self"))
 
@@ -177,7 +181,7 @@ GRAPH = (
     frontier_expand, top100, slot_degrees, slot_pagerank, slot_wcc, slot_bfs, slot_scc,
     bfs_supersteps, sssp_supersteps, pagerank_supersteps, wcc_supersteps, scc_supersteps,
 )
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_sizes, p4_found, p4_endpoint_stats, p5_found, p5_edges, *GRAPH)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_paths, p1_sizes, p4_found, p4_endpoint_stats, p5_found, p5_edges, *GRAPH)}
 
 _P1_TREE = """
 WITH RECURSIVE cur AS (
