@@ -65,7 +65,7 @@ def test_periodic_texts(spark):
         check(spark, docs, 20, unit)
 
 
-def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+def test_large_groups_are_narrowed_by_whole_spans(spark, monkeypatch):
     monkeypatch.setattr(spans, "GROUP", 3)
     rng = random.Random(4)
     passage, half = noise(rng, 45), noise(rng, 15)
@@ -101,3 +101,20 @@ def test_very_long_text(spark):
     assert {tuple(r) for r in spans.sharing_pairs(found).collect()} == {(1, 2), (3, 4)}
     report = {r["doc_id"]: r["shared_chars"] for r in spans.sharing_report(frame(spark, docs), found).collect()}
     assert report[2] == 250 and report[1] == 250 and report[4] == 210
+
+
+def test_every_group_as_a_large_one(spark, monkeypatch):
+    """The same cases by the path of large groups: planted runs at all places, and periodic texts."""
+    monkeypatch.setattr(spans, "GROUP", 1)
+    rng = random.Random(12)
+    docs = [(i, noise(rng, rng.randrange(0, 120))) for i in range(25)]
+    for n in (19, 20, 21, 33, 70) * 3:
+        piece = noise(rng, n, "xyzäß")
+        for i in rng.sample(range(25), rng.choice([2, 3, 8])):
+            text = docs[i][1]
+            at = rng.choice([0, len(text), rng.randrange(len(text) + 1)])
+            docs[i] = (i, text[:at] + piece + text[at:])
+    check(spark, docs, 20, 10)
+    docs = [(1, "a" * 100), (2, "q" + "a" * 60 + "r"), (3, "ab" * 50), (4, "zz" + "ba" * 30 + "y"), (5, "abc" * 20 + "q" + "ab" * 15), (6, "a" * 20)]
+    check(spark, docs, 20, 10)
+    check(spark, docs, 20, 20)

@@ -27,9 +27,10 @@ SPAN, UNIT = 200, 100
 BLOCK, LOW_BITS = 1 << 21, 24
 #: Texts a task remembers to leave out copies before anything is shuffled.
 REMEMBERED = 1 << 20
-#: A digest with more occurrences than this is compared in blocks of this many, each pair of blocks by itself; the inner
-#: occurrences of periodic stretches form blocks of their own, which are only compared with the others.
-GROUP, MIDDLES = 1024, 8192
+#: Up to so many occurrences of a digest are compared pair by pair; more are first narrowed by the whole spans around them.
+GROUP = 1024
+#: Inner occurrences of periodic stretches are compared with the others in blocks of this many.
+MIDDLES = 8192
 # Fixed odd constants of the hash.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -163,7 +164,7 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's occurrences, those whose digest more than one class holds, with the numbers of blocks of their group."""
+    """Of a partition's occurrences, those whose digest more than one class holds; ``cells``: see ``shared_runs``."""
     c = gather(batches)
     if not c or not len(c["digest"]):
         return
@@ -174,8 +175,9 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start, size = _runs(digest)
     several = np.repeat(cls[start] != cls[start + size - 1], size)
     edges = np.add.reduceat(edge.astype(np.int64), start)
+    cells = np.where(edges > GROUP, -1, -(-(size - edges) // MIDDLES))
     if several.any():
-        rows = {"digest": digest, "cls": cls, "pos": pos, "edge": edge, "be": np.repeat(-(-edges // GROUP), size).astype(np.int32), "bm": np.repeat(-(-(size - edges) // MIDDLES), size).astype(np.int32)}
+        rows = {"digest": digest, "cls": cls, "pos": pos, "edge": edge, "cells": np.repeat(cells, size).astype(np.int32)}
         yield from slices({k: v[several] for k, v in rows.items()})
 
 
@@ -184,7 +186,7 @@ def _excerpts(span: int, unit: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("digest", "cls", "pos", "edge", "be", "bm", "lead", "excerpt")}
+            out: dict[str, list] = {k: [] for k in ("digest", "cls", "pos", "edge", "cells", "lead", "excerpt")}
             for cls, text, places in zip(batch.column("cls").to_pylist(), batch.column("text"), batch.column("places").to_pylist()):
                 text = text.as_py()
                 for place in places:
@@ -193,7 +195,7 @@ def _excerpts(span: int, unit: int):
                     for name, value in (*place.items(), ("cls", cls), ("lead", pos - at), ("excerpt", text[at : pos + span])):
                         out[name].append(value)
             if out["cls"]:
-                kinds = {"digest": pa.int64(), "cls": pa.int64(), "pos": pa.int32(), "edge": pa.int8(), "be": pa.int32(), "bm": pa.int32(), "lead": pa.int32(), "excerpt": pa.string()}
+                kinds = {"digest": pa.int64(), "cls": pa.int64(), "pos": pa.int32(), "edge": pa.int8(), "cells": pa.int32(), "lead": pa.int32(), "excerpt": pa.string()}
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
 
     return run
@@ -214,16 +216,15 @@ def _compare(span: int, unit: int, most: int = 1 << 14):
         if not held:
             return
         table = pa.Table.from_batches(held)
-        cols = {n: table.column(n).to_numpy() for n in ("digest", "bi", "bj", "cls", "pos", "edge", "lead", "b")}
-        order = np.lexsort((cols["cls"], -cols["edge"], cols["bj"], cols["bi"], cols["digest"]))
+        cols = {n: table.column(n).to_numpy() for n in ("digest", "cell", "cls", "pos", "edge", "lead")}
+        order = np.lexsort((cols["cls"], -cols["edge"], cols["cell"], cols["digest"]))
         cols = {n: v[order] for n, v in cols.items()}
         excerpt = table.column("excerpt").combine_chunks().take(pa.array(order))
-        changed = np.concatenate([[True], np.any([cols[n][1:] != cols[n][:-1] for n in ("digest", "bi", "bj")], axis=0)])
+        changed = np.concatenate([[True], np.any([cols[n][1:] != cols[n][:-1] for n in ("digest", "cell")], axis=0)])
         start, size = _runs(np.cumsum(changed))
 
         def checked(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # In a cell of two different blocks, pairs within one of them belong to another cell.
-            ok = (cols["cls"][i] != cols["cls"][j]) & ((cols["bj"][i] < 0) | (cols["bi"][i] == cols["bj"][i]) | (cols["b"][i] != cols["b"][j]))
+            ok = cols["cls"][i] != cols["cls"][j]
             i, j = i[ok], j[ok]
             for at in range(0, len(i), most):
                 x, y = i[at : at + most], j[at : at + most]
@@ -247,7 +248,7 @@ def _compare(span: int, unit: int, most: int = 1 << 14):
                         "start_b": (cols["pos"][y] - left).astype(np.int32), "length": (left + unit + right).astype(np.int32),
                     })
 
-        mixed = cols["bj"][start] < 0
+        mixed = cols["cell"][start] > 0
         for at, n in zip(start[mixed], size[mixed]):
             edges = int(np.count_nonzero(cols["edge"][at : at + n]))
             middles = np.arange(at + edges, at + n)
@@ -266,6 +267,78 @@ def _compare(span: int, unit: int, most: int = 1 << 14):
     return run
 
 
+def _windows(span: int, unit: int):
+    """For each occurrence of a large group, the hashes of all spans around it, with the characters at their sides.
+
+    ``before`` and ``after`` are -1 where the excerpt or the text ends: no span further out is to be compared there.
+    """
+    side = span - unit
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _powers(side + span)
+        for batch in batches:
+            out: dict[str, list[np.ndarray]] = {k: [] for k in ("digest", "cls", "pos", "edge", "left", "hash", "before", "after")}
+            for digest, cls, pos, edge, lead, text in zip(*(batch.column(n).to_pylist() for n in ("digest", "cls", "pos", "edge", "lead", "excerpt"))):
+                chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                n = min(lead, len(chars) - span) + 1  # spans that start at 0 .. lead of the excerpt
+                if n < 1:
+                    continue
+                wide = np.concatenate([[-1], chars.astype(np.int64), [-1]])
+                rows = {"digest": digest, "cls": cls, "pos": pos, "edge": edge}
+                for k, v in rows.items():
+                    out[k].append(np.full(n, v))
+                out["left"].append(lead - np.arange(n))
+                out["hash"].append(_window_hashes(chars, span, powers)[:n].view(np.int64))
+                out["before"].append(wide[:n])
+                after = wide[span + 1 : span + 1 + n].copy()
+                after[lead - np.arange(n) == 0] = -1
+                out["after"].append(after)
+            if out["cls"]:
+                yield from slices({k: np.concatenate(v).astype(np.int64) for k, v in out.items()})
+
+    return run
+
+
+def _different(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions whose keys differ or are -1."""
+    order = np.argsort(key, kind="stable")
+    start, size = _runs(key[order])
+    for at, n in zip(start, size):
+        mine, later = order[at : at + n], order[at + n :]
+        if key[mine[0]] == -1:
+            for i in range(n):
+                yield np.full(len(key) - i - 1, mine[i]), order[i + 1 :]
+        elif len(later):
+            for i in mine:
+                yield np.full(len(later), i), later
+
+
+def _outermost(span: int):
+    """Pairs of occurrences at the leftmost and rightmost span that they have in common: no other pair is ever formed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = gather(batches)
+        if not c or not len(c["digest"]):
+            return
+        keys = ("digest", "left", "hash")
+        order = np.lexsort((c["cls"], *(c[k] for k in reversed(keys))))
+        c = {k: v[order] for k, v in c.items()}
+        start, size = _runs(np.cumsum(np.concatenate([[True], np.any([c[k][1:] != c[k][:-1] for k in keys], axis=0)])))
+        for at, n in zip(start, size):
+            if c["cls"][at] == c["cls"][at + n - 1]:
+                continue
+            for name in ("before", "after"):
+                for i, j in _different(c[name][at : at + n]):
+                    i, j = i + at, j + at
+                    ok = (c["cls"][i] != c["cls"][j]) & ((c["edge"][i] | c["edge"][j]) > 0)
+                    i, j = i[ok], j[ok]
+                    if len(i):
+                        starts = [(c["pos"][x] - c["left"][x]).astype(np.int32) for x in (i, j)]
+                        yield from slices({"cls_a": c["cls"][i], "start_a": starts[0], "cls_b": c["cls"][j], "start_b": starts[1], "length": np.full(len(i), span, np.int32)})
+
+    return run
+
+
 @dataclass(frozen=True)
 class Shared:
     """``members (doc_id, cls, n_chars)`` of all texts of at least ``span`` characters; ``matches (cls_a, start_a, cls_b, start_b,
@@ -289,21 +362,22 @@ def shared_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     rows = rows.withColumn("cls", F.xxhash64("text"))
     members = ws.cut(rows.select("doc_id", "cls", F.length("text").alias("n_chars")).distinct())
     occurrences = rows.select("cls", "text").mapInArrow(_fingerprinter(span, unit), "digest long, cls long, pos int, edge byte")
-    shared = ws.cut(occurrences.repartition(parts, "digest").mapInArrow(_shared, "digest long, cls long, pos int, edge byte, be int, bm int"))
-    places = shared.groupBy("cls").agg(F.collect_list(F.struct("digest", "pos", "edge", "be", "bm")).alias("places"))
+    # cells: -1 for a large group; else the number of blocks of inner occurrences, which are cells 1 and up, and 0 that of the edges.
+    shared, seen = ws.cut_measured(occurrences.repartition(parts, "digest").mapInArrow(_shared, "digest long, cls long, pos int, edge byte, cells int"), large=F.count(F.when(F.col("cells") < 0, 1)))
+    places = shared.groupBy("cls").agg(F.collect_list(F.struct("digest", "pos", "edge", "cells")).alias("places"))
     reps = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = places.join(reps, "cls")
     texts = wanted.join(rows.select("doc_id", "cls", "text"), ["doc_id", "cls"]).select("cls", "text", "places")
-    excerpts = texts.mapInArrow(_excerpts(span, unit), "digest long, cls long, pos int, edge byte, be int, bm int, lead int, excerpt string")
-    # Cells of a group: (i, j) compares the edge rows of two blocks, (i, -1 - j) those of a block with the inner rows of another.
-    excerpts = excerpts.withColumn("b", F.pmod(F.xxhash64("cls", "pos"), F.when(F.col("edge") == 1, F.col("be")).otherwise(F.col("bm"))).cast("int"))
-    each = F.sequence(F.lit(0), F.col("be") - 1)
-    at = lambda i, j: F.struct(i.cast("int").alias("bi"), j.cast("int").alias("bj"))
-    inner = F.when(F.col("bm") > 0, F.transform(F.sequence(F.lit(1), F.col("bm")), lambda m: at(F.col("b"), -m))).otherwise(F.array().cast("array<struct<bi:int,bj:int>>"))
-    cell = F.when(F.col("edge") == 1, F.concat(F.transform(each, lambda x: at(F.least(x, F.col("b")), F.greatest(x, F.col("b")))), inner)).otherwise(F.transform(each, lambda x: at(x, -1 - F.col("b"))))
-    cells = excerpts.select("digest", "cls", "pos", "edge", "lead", "excerpt", "b", F.explode(cell).alias("_c")).select("digest", "_c.bi", "_c.bj", "cls", "pos", "edge", "lead", "b", "excerpt")
+    excerpts = texts.mapInArrow(_excerpts(span, unit), "digest long, cls long, pos int, edge byte, cells int, lead int, excerpt string")
     kinds = "cls_a long, start_a int, cls_b long, start_b int, length int"
-    matches = ws.cut(cells.repartition(parts, "digest", "bi", "bj").mapInArrow(_compare(span, unit), kinds))
+    # An edge row meets the other edges in cell 0 and the inner rows in theirs; no two inner rows meet.
+    cell = F.when(F.col("edge") == 1, F.sequence(F.lit(0), "cells")).otherwise(F.array((F.lit(1) + F.pmod(F.xxhash64("cls", "pos"), "cells")).cast("int")))
+    cells = excerpts.where("cells >= 0").select("digest", F.explode(cell).alias("cell"), "cls", "pos", "edge", "lead", "excerpt")
+    compared = cells.repartition(parts, "digest", "cell").mapInArrow(_compare(span, unit), kinds)
+    if seen["large"]:
+        windows = excerpts.where("cells < 0").mapInArrow(_windows(span, unit), "digest long, cls long, pos long, edge long, left long, hash long, before long, after long")
+        compared = compared.unionByName(windows.repartition(parts, "digest", "left", "hash").mapInArrow(_outermost(span), kinds))
+    matches = ws.cut(compared)
     ws.drop(shared)
     return Shared(members, matches)
 
