@@ -133,6 +133,18 @@ def test_one_exchange_per_superstep(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan
 
 
+def test_few_active_vertices_read_their_buckets_only(spark, monkeypatch):
+    from vertexloom.plans.lineage import Workspace
+
+    g = graph(spark, [(i, i + 1, 1) for i in range(40)])
+    p = A.bfs_program(0)
+    run = engine.Run(Workspace(spark, "few"), engine.arcs(g, p), 40, p, edges_per_bucket=4)
+    state, active = run.start(g.vertices())
+    plan = run.superstep(state, active)._jdf.queryExecution().executedPlan().toString()
+    assert run.buckets == 10 and "SelectedBucketsCount: 1 out of 10" in plan
+    assert column(engine.run(g, p, edges_per_bucket=4, in_task=0), "level") == list(range(41))
+
+
 def test_own_program(spark, golden):
     """The user's surface: the largest id that reaches each vertex, against the edges."""
     seen = []

@@ -21,6 +21,9 @@ from vertexloom.plans.lineage import Workspace, settings
 from vertexloom.plans.sizing import parts
 
 EDGES_PER_BUCKET = 500_000
+#: Up to so many active vertices of a graph of more than MANY_BUCKETS buckets are named in the scan of the arcs, which then reads
+#: their buckets and pages only: late supersteps of a long search don't scan the graph.
+FEW, MANY_BUCKETS = 1000, 8
 #: A graph of at most so many edges and vertices is run by a program's kernel in one task: a superstep would take longer to plan
 #: than to compute. Larger ones, and all where ``in_task`` is 0, take supersteps.
 IN_TASK = 1_000_000
@@ -84,7 +87,7 @@ class Run:
     def __init__(self, ws: Workspace, arcs_: DataFrame, n: int, program: VertexProgram, edges_per_bucket: int = EDGES_PER_BUCKET):
         self.ws, self.program, self.steps = ws, program, 0
         self.buckets = parts(n, edges_per_bucket)
-        self.arcs, _ = ws.cut_bucketed(arcs_.repartition(self.buckets, "src"), "src", self.buckets)
+        self.arcs, _ = ws.cut_bucketed(arcs_.repartition(self.buckets, "src").sortWithinPartitions("src"), "src", self.buckets)
 
     def _write(self, state: DataFrame) -> tuple[DataFrame, int]:
         # The exchange of the messages gets as many partitions as there are buckets, so that the state's side stays in place.
@@ -97,10 +100,12 @@ class Run:
         first = vertices.repartition(self.buckets, "id").select("id", *[F.expr(e).alias(c) for c, e in p.state.items()], F.coalesce(F.expr(p.active), F.lit(False)).alias("active"))
         return self._write(first)
 
-    def superstep(self, state: DataFrame) -> DataFrame:
-        p = self.program
+    def superstep(self, state: DataFrame, active: int | None = None) -> DataFrame:
+        p, arcs_ = self.program, self.arcs
         senders = state.where("active") if p.frontier == "active" else state
-        sent = self.arcs.join(senders.hint("shuffle_hash"), F.col("src") == F.col("id")).select("dst", F.expr(p.message).alias("msg"))
+        if p.frontier == "active" and active is not None and active <= FEW and self.buckets > MANY_BUCKETS:
+            arcs_ = arcs_.where(F.col("src").isin([r["id"] for r in senders.select("id").collect()]))
+        sent = arcs_.join(senders.hint("shuffle_hash"), F.col("src") == F.col("id")).select("dst", F.expr(p.message).alias("msg"))
         combined = sent.groupBy("dst").agg(F.expr(p.combine).alias("msg"))
         met = state.drop("active").join(combined.hint("shuffle_hash"), F.col("id") == F.col("dst"), "left").withColumn("_ok", F.coalesce(F.expr(p.accept), F.lit(False)))
         new = [F.when(F.col("_ok"), F.expr(p.apply[c])).otherwise(F.col(c)).alias(c) if c in p.apply else F.col(c) for c in p.state]
@@ -113,7 +118,7 @@ class Run:
         while (active or p.frontier == "all") and (p.supersteps is None or self.steps < p.supersteps):
             if p.before_iteration:
                 p.before_iteration(self.steps)
-            new, active = self._write(self.superstep(state))
+            new, active = self._write(self.superstep(state, active))
             self.ws.drop(state)
             state, self.steps = new, self.steps + 1
             if p.after_iteration and not p.after_iteration(self.steps, active):
