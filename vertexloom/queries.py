@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.operators import algorithms, engine, hierarchy, salted, strict_load
-from vertexloom.sources import tables
+from vertexloom.operators import algorithms, diagnostics, engine, hierarchy, salted, strict_load
+from vertexloom.sources import tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +133,14 @@ def top100(spark: SparkSession, folder: str) -> DataFrame:
     return algorithms.first_rows(spmv(spark, folder))
 
 
+def update_skew(spark: SparkSession, folder: str) -> DataFrame:
+    return diagnostics.update_skew(tables.part_graph(spark, folder).edges, 16).select("lanes_used", "updates", "fullest", F.round("cv", 9).alias("cv"))
+
+
+def random_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.trade_graph(spark, folder).edges.select("src", "dst", text.hashed_weight(1, "src", "dst").alias("weight"))
+
+
 def slot_degrees(spark: SparkSession, folder: str) -> DataFrame:
     return tables.slot_graph(spark, folder).degrees()
 
@@ -178,7 +186,7 @@ def scc_supersteps(spark: SparkSession, folder: str) -> DataFrame:
 
 GRAPH = (
     graph_desc, out_degree, in_degree, csr_index, csc_index, self_loops, spmv, pagerank, pagerank_trade, bfs, sssp, sssp_tree, wcc, wcc_count, scc, scc_sparse,
-    frontier_expand, top100, slot_degrees, slot_pagerank, slot_wcc, slot_bfs, slot_scc,
+    frontier_expand, top100, update_skew, random_weights, slot_degrees, slot_pagerank, slot_wcc, slot_bfs, slot_scc,
     bfs_supersteps, sssp_supersteps, pagerank_supersteps, wcc_supersteps, scc_supersteps,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_paths, p1_sizes, p4_found, p4_endpoint_stats, p5_found, p5_edges, *GRAPH)}
@@ -275,6 +283,8 @@ SELECT v.id, coalesce(t.d, 'Infinity'::DOUBLE) AS value FROM v LEFT JOIN t ON t.
     "scc": _part(46) + _SCC,
     "scc_sparse": _part(48) + _SCC,
     "frontier_expand": _part(46) + _V + " SELECT dst AS id, count(*) AS messages FROM e WHERE src = (SELECT src FROM root) AND src <> dst GROUP BY dst",
+    "update_skew": _part(46) + """, n AS (SELECT l.range AS lane, count(e.dst) AS n FROM range(16) l LEFT JOIN e ON e.dst % 16 = l.range GROUP BY l.range)
+SELECT sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS lanes_used, sum(n)::BIGINT AS updates, max(n) AS fullest, round(stddev_pop(n) / avg(n), 9) AS cv FROM n""",
     "slot_degrees": _SLOTS + _V + """, i AS (SELECT dst, count(*) AS n FROM e GROUP BY dst)
 SELECT v.id, coalesce(deg.d, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM v LEFT JOIN deg ON deg.src = v.id LEFT JOIN i ON i.dst = v.id""",
     "p1_found": _P1_TREE + """,
