@@ -93,7 +93,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     spark = sizes.sparkSession
     ws = Workspace(spark, "mix")
     docs = ws.cut(sizes.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.lower(F.coalesce("lang", F.lit("und"))).alias("lang"), F.col("n_tokens").cast("long").alias("n_tokens")))
-    goals = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.min(F.coalesce("max_repeats", F.lit(0))).alias("repeats")).collect()
+    goals = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.min(F.coalesce("max_repeats", F.lit(0))).alias("repeats")).limit(MOST_LEAVES + 1).collect()
     leaves = docs.where("n_tokens > 0").groupBy("source", "lang").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MOST_LEAVES + 1).collect()
     if len(leaves) > MOST_LEAVES or len(goals) > MOST_LEAVES:
         raise ValueError(f"the tree has more than {MOST_LEAVES} leaves")

@@ -24,6 +24,8 @@ from vertexloom.plans.lineage import Workspace
 from vertexloom.plans.sizing import parts
 
 ROWS_PER_RANGE = 100_000
+#: More ranges than this, and more container kinds, are not made: what the driver matches and broadcasts stays bounded.
+MOST_RANGES, MOST_KINDS = 20_000, 1000
 #: Containers are opened by volume after a round that leaves more than this share of its items.
 SLOW = 0.8
 
@@ -152,7 +154,7 @@ def pack(items: DataFrame, capacities: dict[int, int], rows_per_range: int = ROW
         bins += sum(need.values())
         gaps = reduce(DataFrame.unionByName, fresh if gaps is None else [gaps, *fresh])
         both = todo.select("con", F.lit(0).cast("long").alias("is_gap"), "id", "size").unionByName(gaps.select("con", F.lit(1).cast("long").alias("is_gap"), "id", "size"))
-        ranges = parts(left + bins, rows_per_range)
+        ranges = min(MOST_RANGES, parts(left + bins, rows_per_range))
         ranged = both.repartitionByRange(ranges, "con", "size", F.xxhash64("id")) if ranges > 1 else both.repartition(1)
         swept = ws.cut(ranged.mapInArrow(_swept, SWEPT))
         counts = swept.where("rank >= 0").groupBy("con", "part", "is_gap").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows a range and container
@@ -207,7 +209,9 @@ def fill(sizes: DataFrame, containers: DataFrame, rows_per_range: int = ROWS_PER
     """
     spark = sizes.sparkSession
     ws = Workspace(spark, "containers")
-    boxes = containers.where("container IS NOT NULL AND capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("long").alias("capacity")).orderBy("container").collect()
+    boxes = containers.where("container IS NOT NULL AND capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("long").alias("capacity")).orderBy("container").limit(MOST_KINDS + 1).collect()
+    if len(boxes) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     kinds = "container string, bin long, doc_id long, piece long, start_token long, n_tokens long"
     if not boxes:
         return spark.createDataFrame([], kinds)
