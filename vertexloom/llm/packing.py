@@ -26,8 +26,8 @@ from vertexloom.plans.sizing import parts
 ROWS_PER_RANGE = 100_000
 #: More ranges than this, and more container kinds, are not made: what the driver matches and broadcasts stays bounded.
 MOST_RANGES, MOST_KINDS = 20_000, 1000
-#: Containers are opened by volume after a round that leaves more than this share of its items.
-SLOW = 0.8
+#: Containers are opened by volume once a round places fewer items than this share of its gaps and of its items.
+SLOW = 0.2
 
 
 class Gaps:
@@ -142,6 +142,7 @@ def pack(items: DataFrame, capacities: dict[int, int], rows_per_range: int = ROW
     ws = Workspace(spark, "packing")
     log: list[DataFrame] = []
     opened: dict[int, int] = {}
+    offered: dict[int, int] = {}
     volume = _by_container(items, v=F.sum("size"), n=F.count(F.lit(1)))
     waiting = {con: r["n"] for con, r in volume.items()}
     left = sum(waiting.values())
@@ -151,6 +152,7 @@ def pack(items: DataFrame, capacities: dict[int, int], rows_per_range: int = ROW
         fresh = [spark.range(opened.get(con, 0), opened.get(con, 0) + n).select(F.lit(con).cast("long").alias("con"), "id", F.lit(capacities[con]).cast("long").alias("size")) for con, n in need.items()]
         for con, n in need.items():
             opened[con] = opened.get(con, 0) + n
+            offered[con] = offered.get(con, 0) + n
         bins += sum(need.values())
         gaps = reduce(DataFrame.unionByName, fresh if gaps is None else [gaps, *fresh])
         both = todo.select("con", F.lit(0).cast("long").alias("is_gap"), "id", "size").unionByName(gaps.select("con", F.lit(1).cast("long").alias("is_gap"), "id", "size"))
@@ -184,17 +186,17 @@ def pack(items: DataFrame, capacities: dict[int, int], rows_per_range: int = ROW
         open_ = held.where(F.col("space") >= pick({con: r["least"] for con, r in state.items()})).select("con", "id", F.col("space").alias("size"))
         gaps, seen = ws.cut_measured(open_, n=F.count(F.lit(1)))
         bins = seen["n"]
-        free = _by_container(gaps, v=F.sum(F.floor(F.col("size") / pick(mean)) * pick(mean)), most=F.max("size"))
+        free = _by_container(gaps, n=F.count(F.lit(1)), v=F.sum(F.floor(F.col("size") / pick(mean)) * pick(mean)), most=F.max("size"))
         widest = {con: free[con]["most"] if con in free else -1 for con in state}
         large = _by_container(todo.where(F.col("size") > pick(widest)), v=F.sum("size")) if any(r["most"] > widest[con] for con, r in state.items()) else {}
         need = {}
         for con, r in state.items():
             volume = large[con]["v"] if con in large else 0
-            if r["n"] > SLOW * waiting[con]:
+            if waiting[con] - r["n"] < SLOW * min(waiting[con], offered.get(con, 0)):
                 volume = max(volume, r["v"] - (free[con]["v"] if con in free else 0))
             if volume > 0 or con in large:
                 need[con] = max(1, math.ceil(volume / capacities[con]))
-        waiting = {con: r["n"] for con, r in state.items()}
+        waiting, offered = {con: r["n"] for con, r in state.items()}, {con: r["n"] for con, r in free.items()}
     return reduce(DataFrame.unionByName, log) if log else items.select("con", "id", "size", F.lit(0).cast("long").alias("gap_of"))
 
 
