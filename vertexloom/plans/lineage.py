@@ -35,13 +35,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def _sweep(jvm, conf, root: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM may be gone before us
+        pass
+
+
 class Workspace:
-    """A folder of step tables. ``cut`` adds one, ``drop`` removes one that no later plan reads."""
+    """A folder of step tables. ``cut`` adds one, ``drop`` removes one that no later plan reads.
+
+    Results are lazy and read the last tables, so these stay until the driver's process ends and are deleted then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._steps = 0
+        atexit.register(_sweep, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
