@@ -160,3 +160,14 @@ def test_update_skew(spark, golden):
     row = update_skew(golden.edges, 4).first()
     assert row["updates"] == 13 and row["fullest"] == 5 and row["lanes_used"] == 4
     assert update_skew(graph(spark, []).edges, 4).first()["cv"] is None
+
+
+@BOTH
+def test_edges_without_a_weight_carry_no_message(spark, in_task):
+    edges = [(0, 1, 2.0), (2, 1, None), (0, 2, 1.0), (1, 3, 5.0), (2, 3, None), (0, 3, math.nan), (0, 3, 9.0), (4, 3, None), (4, 0, math.nan)]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long, weight double"), weight="weight")
+    tree = A.sssp(g, 0, in_task)
+    assert column(tree, "value") == [0, 2, 1, 7, math.inf]
+    assert column(tree, "predecessor") == [None, 0, 0, 1, None]
+    with pytest.raises(ValueError, match="reaches no other"):
+        A.sssp(g, 4, in_task).collect()

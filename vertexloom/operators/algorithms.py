@@ -22,9 +22,9 @@ def _known(graph: Graph, root: int, what: str) -> None:
         raise ValueError(f"the {what} {root} is no vertex: ids go from 0 to {graph.max_id}")
 
 
-def _leaves(graph: Graph, root: int, what: str) -> None:
+def _leaves(graph: Graph, root: int, what: str, usable: str = "true") -> None:
     """The supersteps notice a root without a way out by themselves; before a kernel runs, it is looked up."""
-    if graph.edges.where((F.col("src") == root) & (F.col("dst") != root)).isEmpty():
+    if graph.edges.where((F.col("src") == root) & (F.col("dst") != root)).where(usable).isEmpty():
         raise ValueError(f"the {what} {root} reaches no other vertex")
 
 
@@ -64,7 +64,7 @@ def sssp_program(source: int) -> VertexProgram:
 
     return VertexProgram(
         "sssp", {"predecessor": "CAST(NULL AS LONG)", "value": f"CASE WHEN id = {source} THEN 0D ELSE double('Infinity') END"},
-        "struct(value + weight AS value, id AS predecessor)", "min(msg)", f"msg.value < value AND NOT coalesce(abs(msg.value - value) < {EPSILON}D, false)",
+        "CASE WHEN weight IS NOT NULL THEN struct(value + weight AS value, id AS predecessor) END", "min(msg)", f"msg.value < value AND NOT coalesce(abs(msg.value - value) < {EPSILON}D, false)",
         {"predecessor": "msg.predecessor", "value": "msg.value"}, active=f"id = {source}", needs_weight=True, after_iteration=_first_hop("source", source), kernel=kernel,
     )
 
@@ -73,13 +73,14 @@ def sssp(graph: Graph, source: int = 0, in_task: int = engine.IN_TASK) -> DataFr
     """``(id, predecessor, value)``: the distance from the source, Infinity where it doesn't reach, and the vertex it was reached from.
 
     An improvement of less than 0.001 is none. Of equal distances that arrive in one superstep, the smallest predecessor counts;
-    an equal one that arrives later is not taken. A cycle of negative weight is an error.
+    an equal one that arrives later is not taken. An edge whose weight is NULL or NaN carries no message. A cycle of negative
+    weight is an error.
     """
     _known(graph, source, "source")
     program = sssp_program(source)
     engine.check(graph, program)
     if engine.fits_task(graph, in_task):
-        _leaves(graph, source, "source")
+        _leaves(graph, source, "source", "weight < double('Infinity')")
     return engine.run(graph, program, in_task=in_task)
 
 
