@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 import __spark_entry__ as entry
@@ -22,3 +24,24 @@ def test_entry(spark):
     assert df.columns == ["endpoint", "vert", "degree", "distinct_neighbours", "smallest_neighbour"]
     assert df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_graph_query_runs_on_the_whole_table_of_edges():
+    of_slots = {"graph_desc": "slot_desc", "out_degree": "slot_degrees", "in_degree": "slot_degrees", "pagerank_trade": "slot_pagerank", "scc_sparse": "slot_scc"}
+    filtered = [f.__name__ for f in queries.GRAPH if not f.__name__.startswith(("slot_", "pagerank_supersteps"))]
+    assert {of_slots.get(n, f"slot_{n}") for n in filtered} <= set(queries.QUERIES)
+
+
+def test_whole_table_of_edges_against_brute_force(spark, tmp_path):
+    """Every edge counts, with a weight or without; no weight: no message and nothing in a sum."""
+    rows = [(1, 0, 1, 2.0), (1, 0, 1, 2.0), (2, 0, 2, None), (3, 0, 2, math.nan), (4, 0, 2, -1.0), (5, 1, 2, 0.0), (6, 2, 3, 1.5), (7, 2, 2, 4.0), (8, 3, 0, 0.25), (9, 3, None, 1.0), (10, 3, 4294967295, 1.0)]
+    spark.createDataFrame(rows, "slot long, src long, dest_vert long, weight float").coalesce(1).write.parquet(f"{tmp_path}/edge.parquet")
+    run = lambda name, *cols: [tuple(r[c] for c in cols) for r in queries.QUERIES[name](spark, str(tmp_path)).orderBy("id").collect()]
+    assert run("slot_degrees", "out_degree", "in_degree") == [(4, 1), (1, 1), (2, 5), (1, 1)]
+    assert run("slot_csr_index", "offset") == [(1,), (5,), (6,), (8,)]
+    assert run("slot_spmv", "spmv_value") == [(0.25,), (2.0,), (4.0,), (1.5,)]
+    for name in ("slot_sssp", "slot_sssp_supersteps"):
+        assert run(name, "value") == [(0.0,), (2.0,), (2.0,), (3.5,)]
+    assert run("slot_sssp_tree", "predecessor") == [(None,), (0,), (1,), (2,)]
+    for name in ("slot_scc", "slot_scc_supersteps"):
+        assert run(name, "component_root") == [(0,)] * 4

@@ -162,6 +162,74 @@ def slot_scc(spark: SparkSession, folder: str) -> DataFrame:
     return algorithms.scc(tables.slot_graph(spark, folder))
 
 
+def slot_desc(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.weighted_slot_graph(spark, folder).describe()
+
+
+def slot_csr_index(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.slot_graph(spark, folder).csr_index()
+
+
+def slot_csc_index(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.slot_graph(spark, folder).csc_index()
+
+
+def slot_self_loops(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.slot_graph(spark, folder).edges.where("src = dst").groupBy("src").agg(F.count(F.lit(1)).alias("loops"))
+
+
+def slot_spmv(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.spmv(tables.weighted_slot_graph(spark, folder))
+
+
+def slot_top100(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.first_rows(slot_spmv(spark, folder))
+
+
+def slot_sssp_tree(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.weighted_slot_graph(spark, folder)
+    return algorithms.sssp(g, tables.busiest_source(g))
+
+
+def slot_sssp(spark: SparkSession, folder: str) -> DataFrame:
+    return slot_sssp_tree(spark, folder).select("id", "value")
+
+
+def slot_wcc_count(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.component_count(slot_wcc(spark, folder))
+
+
+def slot_frontier_expand(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.slot_graph(spark, folder)
+    return engine.expand(g, spark.createDataFrame([(tables.busiest_source(g),)], "id long"))
+
+
+def slot_update_skew(spark: SparkSession, folder: str) -> DataFrame:
+    return diagnostics.update_skew(tables.slot_graph(spark, folder).edges, 16).select("lanes_used", "updates", "fullest", F.round("cv", 9).alias("cv"))
+
+
+def slot_random_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.slot_graph(spark, folder).edges.select("src", "dst", text.hashed_weight(1, "src", "dst").alias("weight"))
+
+
+def slot_bfs_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.slot_graph(spark, folder)
+    return algorithms.bfs(g, tables.busiest_source(g), in_task=0)
+
+
+def slot_sssp_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.weighted_slot_graph(spark, folder)
+    return algorithms.sssp(g, tables.busiest_source(g), in_task=0).select("id", "value")
+
+
+def slot_wcc_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.wcc(tables.slot_graph(spark, folder), in_task=0)
+
+
+def slot_scc_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.scc(tables.slot_graph(spark, folder), in_task=0)
+
+
 def bfs_supersteps(spark: SparkSession, folder: str) -> DataFrame:
     g = tables.part_graph(spark, folder)
     return algorithms.bfs(g, tables.busiest_source(g), in_task=0)
@@ -187,6 +255,8 @@ def scc_supersteps(spark: SparkSession, folder: str) -> DataFrame:
 GRAPH = (
     graph_desc, out_degree, in_degree, csr_index, csc_index, self_loops, spmv, pagerank, pagerank_trade, bfs, sssp, sssp_tree, wcc, wcc_count, scc, scc_sparse,
     frontier_expand, top100, update_skew, random_weights, slot_degrees, slot_pagerank, slot_wcc, slot_bfs, slot_scc,
+    slot_desc, slot_csr_index, slot_csc_index, slot_self_loops, slot_spmv, slot_top100, slot_sssp, slot_sssp_tree, slot_wcc_count, slot_frontier_expand,
+    slot_update_skew, slot_random_weights, slot_bfs_supersteps, slot_sssp_supersteps, slot_wcc_supersteps, slot_scc_supersteps,
     bfs_supersteps, sssp_supersteps, pagerank_supersteps, wcc_supersteps, scc_supersteps,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_paths, p1_sizes, p4_found, p4_endpoint_stats, p5_found, p5_edges, *GRAPH)}
@@ -304,3 +374,26 @@ SELECT id, root, depth, nodes_below_and_self FROM down JOIN n USING (id)""",
 }
 # The same queries without the one-task kernels.
 SQL |= {f"{name}_supersteps": SQL[name] for name in ("bfs", "sssp", "pagerank", "wcc", "scc")}
+
+# The whole table of edges, for what runs on a filtered lineitem above. A weight that is NULL, NaN or negative is none.
+_WEIGHTS = """WITH RECURSIVE e AS (SELECT slot, src, dest_vert AS dst, max(CASE WHEN weight >= 0 AND NOT isnan(weight) THEN weight END)::DOUBLE AS weight FROM edge
+  WHERE src BETWEEN 0 AND 4294967294 AND dest_vert BETWEEN 0 AND 4294967294 GROUP BY slot, src, dest_vert)"""
+SQL |= {
+    "slot_desc": _WEIGHTS + SQL["graph_desc"].removeprefix(_part(46)),
+    "slot_csr_index": _SLOTS + _INDEX.format(key="src"),
+    "slot_csc_index": _SLOTS + _INDEX.format(key="dst"),
+    "slot_self_loops": _SLOTS + SQL["self_loops"].removeprefix(_TRADE),
+    "slot_spmv": _WEIGHTS + _SPMV,
+    "slot_top100": _WEIGHTS + _SPMV + " ORDER BY v.id LIMIT 100",
+    # Weights are fractions here, so the rule that an improvement below 0.001 is none counts, and with it who is active.
+    "slot_sssp": _WEIGHTS + _V + """,
+t(i, id, d, active) AS (SELECT 0, src, 0::DOUBLE, true FROM root
+  UNION ALL SELECT i, id, CASE WHEN ok THEN m ELSE d END, ok FROM (SELECT *, m IS NOT NULL AND m < d AND (d = 'Infinity'::DOUBLE OR abs(m - d) >= 1e-3::DOUBLE) AS ok FROM (
+    SELECT i + 1 AS i, id, coalesce(min(d), 'Infinity'::DOUBLE) AS d, min(m) AS m FROM (SELECT i, id, d, NULL::DOUBLE AS m FROM t
+      UNION ALL SELECT t.i, e.dst, NULL::DOUBLE, t.d + e.weight FROM t JOIN e ON e.src = t.id AND e.src <> e.dst WHERE t.active AND e.weight IS NOT NULL) WHERE i < 60 GROUP BY i, id)))
+SELECT v.id, coalesce(t.d, 'Infinity'::DOUBLE) AS value FROM v LEFT JOIN t ON t.id = v.id AND t.i = 60""",
+    "slot_wcc_count": _SLOTS + _WCC + " SELECT count(*) AS components FROM t WHERE i = 40 AND id = c",
+    "slot_frontier_expand": _SLOTS + SQL["frontier_expand"].removeprefix(_part(46)),
+    "slot_update_skew": _SLOTS + SQL["update_skew"].removeprefix(_part(46)),
+}
+SQL |= {f"slot_{name}_supersteps": SQL[f"slot_{name}"] for name in ("bfs", "sssp", "wcc")}

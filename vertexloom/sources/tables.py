@@ -31,6 +31,14 @@ def trade_graph(spark: SparkSession, folder: str, quantity: int = 50) -> Graph:
     return Graph.from_edges(edges, weight="l_quantity", store=True)
 
 
+def weighted_slot_graph(spark: SparkSession, folder: str) -> Graph:
+    """``slot_graph`` with its weights. One that is NULL, NaN or negative is none (NULL): its edge counts in degrees and offsets,
+    carries no message in SSSP and adds nothing to SpMV."""
+    weight = F.when((F.col("weight") >= 0) & ~F.isnan("weight"), F.col("weight"))
+    slots = _table(spark, folder, "edge").where(is_vertex("src") & is_vertex("dest_vert")).groupBy("slot", "src", "dest_vert").agg(F.max(weight).alias("weight"))
+    return Graph.from_edges(slots, dst="dest_vert", weight="weight", store=True)
+
+
 def slot_graph(spark: SparkSession, folder: str) -> Graph:
     """The table of out-edge slots: a slot that was written twice is one edge, slots without a destination are none."""
     slots = _table(spark, folder, "edge").where(is_vertex("src") & is_vertex("dest_vert")).select("slot", "src", "dest_vert")
