@@ -118,3 +118,28 @@ def test_every_group_as_a_large_one(spark, monkeypatch):
     docs = [(1, "a" * 100), (2, "q" + "a" * 60 + "r"), (3, "ab" * 50), (4, "zz" + "ba" * 30 + "y"), (5, "abc" * 20 + "q" + "ab" * 15), (6, "a" * 20)]
     check(spark, docs, 20, 10)
     check(spark, docs, 20, 20)
+
+
+def _mixed_prefixes(rng, span):
+    """Runs that reach over one end of a periodic stretch, which is longer in one text than in the other, behind several prefixes."""
+    docs = []
+    for tile in ("_", "-.", "abc"):
+        for n in (span - 1, span, span + 3, 2 * span, 3 * span + 7):
+            for before in ("", noise(rng, 3), noise(rng, span), noise(rng, 2 * span)):
+                stretch = (tile * n)[:n]
+                docs += [before + "\n" + stretch + noise(rng, rng.choice([0, 5, span]), "xyz"), before + noise(rng, 4) + stretch + "\n" + noise(rng, rng.choice([0, 5, span]), "xyz")]
+    return [(i, d) for i, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize("span, unit", [(20, 10), (21, 8), (20, 20), (9, 4)])
+@pytest.mark.parametrize("group", [1024, 1])
+def test_runs_over_the_end_of_a_longer_stretch(spark, monkeypatch, span, unit, group):
+    monkeypatch.setattr(spans, "GROUP", group)
+    check(spark, _mixed_prefixes(random.Random(span), span), span, unit)
+
+
+def test_run_of_exactly_one_span_into_a_longer_stretch(spark):
+    rng = random.Random(3)
+    prefixes = ["", "q", noise(rng, 60), noise(rng, 150), noise(rng, 350)]
+    docs = [(i, p + "\n" + "_" * 199 + "tail" + noise(rng, 120)) for i, p in enumerate(prefixes)] + [(10 + i, p[::-1] + "\n" + "_" * 400) for i, p in enumerate(prefixes)]
+    check(spark, docs, 200, 100)

@@ -70,8 +70,63 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def fingerprints(texts: list[np.ndarray], span: int, unit: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the text, offset and digest of each selected window. The texts, as code points, fill one block together."""
+def _recurs(h: np.ndarray, most: int) -> int:
+    """The smallest distance up to ``most`` at which the first hash comes again; 0: none."""
+    again = np.flatnonzero(h[1 : most + 1] == h[0])
+    return int(again[0]) + 1 if len(again) else 0
+
+
+def _repeats(h: np.ndarray, period: int) -> int:
+    """How often in a row the first hash comes again at this distance."""
+    h, done, more = h[::period], 1, 64
+    while done < len(h):
+        other = np.flatnonzero(h[done : done + more] != h[0])
+        if len(other):
+            return done + int(other[0]) - 1
+        done, more = done + more, 2 * more
+    return len(h) - 1
+
+
+def _thinned(h: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows to keep in place of the selected ones ``at``, and whether each is an edge. ``first`` and ``last`` bound the windows of each one's text.
+
+    A window that recurs at a distance of at most half a unit lies in periodic text. All its occurrences in that stretch count,
+    selected or not, since which are selected depends on what precedes: the first two and last two are edges, and between them one in
+    each half unit is kept. Elsewhere every window is an edge. Two windows that are no edges needn't be compared: a common run that
+    leaves the stretch does so at the same end in both texts, where the edges are alike; one inside the stretch in both may be moved
+    by periods until it meets an edge of one text, and the kept windows of the other are close enough that such runs cover it.
+    """
+    half = unit // 2
+    periodic = np.zeros(len(at), bool)
+    for d in range(1, half + 1):
+        for there in (at - d, at + d):
+            ok = (there >= first) & (there <= last)
+            periodic[ok] |= h[there[ok]] == h[at[ok]]
+    if not periodic.any():
+        return at, np.ones(len(at), np.int8)
+    rows = np.flatnonzero(periodic)
+    rows = rows[np.lexsort((at[rows], h[at[rows]]))]
+    a = at[rows]
+    near = (h[a[1:]] == h[a[:-1]]) & (first[rows[1:]] == first[rows[:-1]]) & (a[1:] - a[:-1] <= half)
+    places, edges, done = [at[~periodic]], [np.ones(np.count_nonzero(~periodic), np.int8)], set()
+    for row in rows[np.concatenate([[True], ~near])]:
+        x, lo, hi = int(at[row]), int(first[row]), int(last[row])
+        ahead, behind = h[x : hi + 1], h[lo : x + 1][::-1]
+        period = _recurs(ahead, half) or _recurs(behind, half)
+        start = x - period * _repeats(behind, period)
+        if start in done:
+            continue
+        done.add(start)
+        most = _repeats(h[start : hi + 1], period)
+        ends = np.unique(np.clip([0, 1, most - 1, most], 0, most))
+        nth = np.unique(np.concatenate([ends, np.arange(0, most + 1, max(1, half // period))]))
+        places.append(start + period * nth)
+        edges.append(np.isin(nth, ends).astype(np.int8))
+    return np.concatenate(places), np.concatenate(edges)
+
+
+def fingerprints(texts: list[np.ndarray], span: int, unit: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, offset and digest of each kept window, and whether it is an edge. The texts, as code points, fill one block together."""
     lengths = np.array([len(t) for t in texts])
     ends = np.cumsum(lengths)
     starts = ends - lengths
@@ -79,7 +134,7 @@ def fingerprints(texts: list[np.ndarray], span: int, unit: int, powers: tuple[np
     width = span - unit + 1
     none = np.empty(0, np.int64)
     if len(chars) < span:
-        return none, none, none
+        return none, none, none, none.astype(np.int8)
     h = _window_hashes(chars, unit, powers)
     mask = np.uint64((1 << LOW_BITS) - 1)
     ranked = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64))  # the rightmost of equal ones is the smallest
@@ -91,32 +146,9 @@ def fingerprints(texts: list[np.ndarray], span: int, unit: int, powers: tuple[np
     at = (mask - (low[np.cumsum(inside[:-1]) > 0] & mask)).astype(np.int64)
     at = np.unique(at)
     doc = np.searchsorted(ends, at, side="right")
-    return doc, at - starts[doc], h[at].view(np.int64)
-
-
-def _thinned(key: np.ndarray, pos: np.ndarray, digest: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows to keep, and whether each is an edge row.
-
-    Where a digest recurs at distances of at most half a unit, the text is periodic. Of such a stretch the first two and last
-    two occurrences are edges, and of those between one in each half unit is kept; elsewhere every row is an edge. Two rows
-    that are no edges needn't be compared: a run that two texts have in common leaves a stretch at one of its ends, or may be
-    moved along it until it meets an edge.
-    """
-    step = max(1, unit // 2)
-    order = np.lexsort((pos, digest, key))
-    k, d, p = key[order], digest[order], pos[order]
-    same = (k[1:] == k[:-1]) & (d[1:] == d[:-1]) & (p[1:] - p[:-1] <= unit // 2)
-    if not same.any():
-        return np.arange(len(key)), np.ones(len(key), np.int8)
-    first = np.concatenate([[True], ~same])
-    at = np.flatnonzero(first)
-    run = np.cumsum(first) - 1
-    sizes = np.diff(np.append(at, len(k)))
-    nth = np.arange(len(k)) - at[run]
-    edge = (nth < 2) | (nth >= sizes[run] - 2)
-    cell = (p - p[at[run]]) // step
-    keep = edge | np.concatenate([[True], cell[1:] != cell[:-1]])
-    return order[keep], edge[keep].astype(np.int8)
+    at, edge = _thinned(h, at, starts[doc], ends[doc] - unit, unit)
+    doc = np.searchsorted(ends, at, side="right")
+    return doc, at - starts[doc], h[at].view(np.int64), edge
 
 
 def _fingerprinter(span: int, unit: int):
@@ -128,11 +160,9 @@ def _fingerprinter(span: int, unit: int):
         size = 0
 
         def emit():
-            doc, pos, digest = fingerprints(texts, span, unit, powers)
+            doc, pos, digest, edge = fingerprints(texts, span, unit, powers)
             key, base = np.array([k for k, _ in keys], np.int64), np.array([b for _, b in keys], np.int64)
-            cls, pos = key[doc], pos + base[doc]
-            keep, edge = _thinned(cls, pos, digest, unit)
-            return slices({"digest": digest[keep], "cls": cls[keep], "pos": pos[keep].astype(np.int32), "edge": edge})
+            return slices({"digest": digest, "cls": key[doc], "pos": (pos + base[doc]).astype(np.int32), "edge": edge})
 
         for batch in batches:
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -168,9 +198,9 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = gather(batches)
     if not c or not len(c["digest"]):
         return
-    order = np.lexsort((c["pos"], c["cls"], c["digest"]))
+    order = np.lexsort((-c["edge"], c["pos"], c["cls"], c["digest"]))
     digest, cls, pos, edge = (c[n][order] for n in ("digest", "cls", "pos", "edge"))
-    fresh = np.concatenate([[True], (digest[1:] != digest[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])])  # copies from other tasks
+    fresh = np.concatenate([[True], (digest[1:] != digest[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])])  # copies from other tasks, and where pieces overlap: an edge in one is one
     digest, cls, pos, edge = digest[fresh], cls[fresh], pos[fresh], edge[fresh]
     start, size = _runs(digest)
     several = np.repeat(cls[start] != cls[start + size - 1], size)
