@@ -104,3 +104,32 @@ def test_a_long_chain(spark):
 def test_a_star_with_one_hot_parent(spark):
     got = solved(H.solve(links(spark, {i: 0 if i else None for i in range(2000)}), rows_per_part=300))
     assert got == {i: (0, min(i, 1)) for i in range(2000)}
+
+
+def _two_id_loops(n):
+    """Loops of one to three ids, of which the most have two, each with a tail, beside a few trees."""
+    parents = {}
+    for i in range(n):
+        a = 10 * i
+        parents |= {a: a + 1, a + 1: a, a + 5: a + 1, a + 6: a + 5}
+        if i % 9 == 0:
+            parents |= {a + 1: a + 2, a + 2: a, a + 7: a + 7, a + 8: a + 7}
+        if i % 7 == 0:
+            parents |= {a + 3: None, a + 4: a + 3, a + 9: a + 4}
+    return parents
+
+
+def test_many_small_loops_leave_the_quotient_when_hooked(spark, monkeypatch):
+    levels, hooked = [], H._hooked
+
+    def counted(t, level):
+        levels.append(level)
+        assert level < 40, "the loops are never solved"
+        return hooked(t, level)
+
+    monkeypatch.setattr(H, "_hooked", counted)
+    parents = _two_id_loops(60)
+    ws = H.Workspace(spark, "loops")
+    t = ws.cut(H._nodes(links(spark, parents)))
+    assert solved(H._solve(ws, t, len(parents), 5, hook=True)) == brute(parents)
+    assert levels

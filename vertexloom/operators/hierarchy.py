@@ -48,7 +48,8 @@ def _coin(c: Column, level: int) -> Column:
 
 
 def _hooked(t: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes that are skipped, and all nodes with the skipped parents jumped over."""
+    """The nodes that are skipped, and all nodes with the skipped parents jumped over. A loop that has shrunk to a node that is its
+    own parent is closed, as in ``forest.contract``, so that it leaves the quotient."""
     skipped = t.where((F.col("parent") != _none()) & (_coin(F.col("id"), level) == 0) & (_coin(F.col("parent"), level) == 1))
     s = skipped.select(*[F.col(c).alias(f"_{c}") for c in t.columns])
     met = F.col("_id").isNotNull()
@@ -60,7 +61,9 @@ def _hooked(t: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         "base": F.when(met, F.when(F.col("_base") < 0, -1).otherwise(F.col("w") + F.col("_base"))).otherwise(F.col("base")),
     }
     out = t.join(s, F.col("parent") == F.col("_id"), "left").select(*[sets.get(c, F.col(c)).alias(c) for c in t.columns])
-    return skipped, out
+    looped = F.col("parent") == F.col("id")
+    closed = {"parent": _none(), "w": F.lit(0).cast("long"), "root": F.col("m"), "base": F.lit(-1).cast("long")}
+    return skipped, out.select(*[F.when(looped, closed[c]).otherwise(F.col(c)).alias(c) if c in closed else F.col(c) for c in t.columns])
 
 
 def _solve(ws: Workspace, t: DataFrame, n: int, rows_per_part: int, level: int = 0, hook: bool = False) -> DataFrame:
