@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle import DATA, same
 from vertexloom import queries
+from vertexloom.sources import tables
 
 SLOW = {"bfs_supersteps", "sssp_supersteps", "scc_supersteps"}  # covered by test_engine on smaller graphs
 
@@ -27,8 +28,9 @@ def test_entry(spark):
 
 
 def test_every_graph_query_runs_on_the_whole_table_of_edges():
-    of_slots = {"graph_desc": "slot_desc", "out_degree": "slot_degrees", "in_degree": "slot_degrees", "pagerank_trade": "slot_pagerank", "scc_sparse": "slot_scc"}
-    filtered = [f.__name__ for f in queries.GRAPH if not f.__name__.startswith(("slot_", "pagerank_supersteps"))]
+    of_slots = {"graph_desc": "slot_desc", "out_degree": "slot_degrees", "in_degree": "slot_degrees", "scc_sparse": "slot_scc"}
+    of_slots |= {"pagerank": "slot_pagerank10", "pagerank_trade": "trade_pagerank10", "pagerank_supersteps": "slot_pagerank10_supersteps"}
+    filtered = [f.__name__ for f in queries.GRAPH if not f.__name__.startswith(("slot_", "trade_"))]
     assert {of_slots.get(n, f"slot_{n}") for n in filtered} <= set(queries.QUERIES)
 
 
@@ -45,3 +47,21 @@ def test_whole_table_of_edges_against_brute_force(spark, tmp_path):
     assert run("slot_sssp_tree", "predecessor") == [(None,), (0,), (1,), (2,)]
     for name in ("slot_scc", "slot_scc_supersteps"):
         assert run(name, "component_root") == [(0,)] * 4
+
+
+@pytest.mark.parametrize("name, graph", [("slot_pagerank10", tables.slot_graph), ("trade_pagerank10", lambda spark, folder: tables.trade_graph(spark, folder, None))])
+def test_ranks_of_whole_tables_take_the_default_iterations(spark, name, graph):
+    folder = f"{DATA}/sf0.001"
+    g = graph(spark, folder)
+    ranks, out = [1.0] * (g.max_id + 1), [0] * (g.max_id + 1)
+    edges = [(r["src"], r["dst"]) for r in g.edges.collect()]
+    for a, _ in edges:
+        out[a] += 1
+    for _ in range(10):
+        new = list(ranks)
+        for a, b in edges:
+            new[b] += 0.85 * ranks[a] / out[a] + 0.15
+        ranks = new
+    assert [r["rank"] for r in queries.QUERIES[name](spark, folder).orderBy("id").collect()] == pytest.approx(ranks, rel=1e-6)
+    if name.startswith("trade"):
+        assert len(edges) == spark.read.parquet(f"{folder}/lineitem.parquet").count()

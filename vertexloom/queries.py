@@ -149,6 +149,18 @@ def slot_pagerank(spark: SparkSession, folder: str) -> DataFrame:
     return algorithms.pagerank(tables.slot_graph(spark, folder), 2).selectExpr("id", RANK)
 
 
+def slot_pagerank10(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.pagerank(tables.slot_graph(spark, folder)).selectExpr("id", RANK)
+
+
+def slot_pagerank10_supersteps(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.pagerank(tables.slot_graph(spark, folder), in_task=0).selectExpr("id", RANK)
+
+
+def trade_pagerank10(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.pagerank(tables.trade_graph(spark, folder, None)).selectExpr("id", RANK)
+
+
 def slot_wcc(spark: SparkSession, folder: str) -> DataFrame:
     return algorithms.wcc(tables.slot_graph(spark, folder))
 
@@ -257,6 +269,7 @@ GRAPH = (
     frontier_expand, top100, update_skew, random_weights, slot_degrees, slot_pagerank, slot_wcc, slot_bfs, slot_scc,
     slot_desc, slot_csr_index, slot_csc_index, slot_self_loops, slot_spmv, slot_top100, slot_sssp, slot_sssp_tree, slot_wcc_count, slot_frontier_expand,
     slot_update_skew, slot_random_weights, slot_bfs_supersteps, slot_sssp_supersteps, slot_wcc_supersteps, slot_scc_supersteps,
+    slot_pagerank10, slot_pagerank10_supersteps, trade_pagerank10,
     bfs_supersteps, sssp_supersteps, pagerank_supersteps, wcc_supersteps, scc_supersteps,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_paths, p1_sizes, p4_found, p4_endpoint_stats, p5_found, p5_edges, *GRAPH)}
@@ -392,8 +405,11 @@ t(i, id, d, active) AS (SELECT 0, src, 0::DOUBLE, true FROM root
     SELECT i + 1 AS i, id, coalesce(min(d), 'Infinity'::DOUBLE) AS d, min(m) AS m FROM (SELECT i, id, d, NULL::DOUBLE AS m FROM t
       UNION ALL SELECT t.i, e.dst, NULL::DOUBLE, t.d + e.weight FROM t JOIN e ON e.src = t.id AND e.src <> e.dst WHERE t.active AND e.weight IS NOT NULL) WHERE i < 60 GROUP BY i, id)))
 SELECT v.id, coalesce(t.d, 'Infinity'::DOUBLE) AS value FROM v LEFT JOIN t ON t.id = v.id AND t.i = 60""",
+    # With the default number of iterations, over all edges and all lines.
+    "slot_pagerank10": _SLOTS + _rank(10),
+    "trade_pagerank10": _TRADE.replace(" WHERE l_quantity = 50", "") + _rank(10),
     "slot_wcc_count": _SLOTS + _WCC + " SELECT count(*) AS components FROM t WHERE i = 40 AND id = c",
     "slot_frontier_expand": _SLOTS + SQL["frontier_expand"].removeprefix(_part(46)),
     "slot_update_skew": _SLOTS + SQL["update_skew"].removeprefix(_part(46)),
 }
-SQL |= {f"slot_{name}_supersteps": SQL[f"slot_{name}"] for name in ("bfs", "sssp", "wcc")}
+SQL |= {f"slot_{name}_supersteps": SQL[f"slot_{name}"] for name in ("bfs", "sssp", "wcc", "pagerank10")}

@@ -21,9 +21,10 @@ def part_graph(spark: SparkSession, folder: str, least_quantity: int = 46) -> Gr
     return Graph.from_edges(a.join(b, ["l_orderkey", "l_linenumber"]), weight="weight", store=True)
 
 
-def trade_graph(spark: SparkSession, folder: str, quantity: int = 50) -> Graph:
-    """Nations of customers to nations of suppliers, one edge for each line of this quantity."""
-    lines = _table(spark, folder, "lineitem").where(F.col("l_quantity") == quantity).select("l_orderkey", "l_suppkey", "l_quantity")
+def trade_graph(spark: SparkSession, folder: str, quantity: int | None = 50) -> Graph:
+    """Nations of customers to nations of suppliers, one edge for each line of this quantity; None: for every line."""
+    wanted = F.lit(True) if quantity is None else F.col("l_quantity") == quantity
+    lines = _table(spark, folder, "lineitem").where(wanted).select("l_orderkey", "l_suppkey", "l_quantity")
     orders = _table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = _table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src"))
     suppliers = _table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
