@@ -45,14 +45,14 @@ def forest(n, seed, far):
 def test_solve_equals_brute_force(spark, far):
     parents = forest(300, far, far)
     want = brute(parents)
-    for rows in (10_000, 40):  # one task; several levels of contraction and hooking
-        assert solved(H.solve(links(spark, parents), rows_per_part=rows)) == want
+    for rows, base in ((10_000, 1000), (40, 20)):  # one level; several
+        assert solved(H.solve(links(spark, parents), rows_per_part=rows, base=base)) == want
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.dictionaries(st.integers(0, 12), st.one_of(st.none(), st.integers(0, 14)), max_size=12))
 def test_any_small_forest(spark, parents):
-    assert solved(H.solve(links(spark, parents), rows_per_part=5)) == brute(parents)
+    assert solved(H.solve(links(spark, parents), rows_per_part=5, base=3)) == brute(parents)
 
 
 def test_current_links(spark):
@@ -67,7 +67,7 @@ def test_current_links(spark):
 def test_paths_and_descendants(spark, rows):
     parents = forest(200, 11, 4)
     want = brute(parents)
-    nodes = H.hierarchy(links(spark, parents), rows_per_part=rows).cache()
+    nodes = H.hierarchy(links(spark, parents), rows_per_part=rows, base=rows).cache()
     got = {r["id"]: r for r in nodes.collect()}
     assert {i: (r["root"], r["depth"]) for i, r in got.items()} == want
 
@@ -97,12 +97,12 @@ def test_paths_and_descendants(spark, rows):
 
 def test_a_long_chain(spark):
     n = 3000
-    got = solved(H.solve(links(spark, {i: i - 1 if i else None for i in range(n)}), rows_per_part=300))
+    got = solved(H.solve(links(spark, {i: i - 1 if i else None for i in range(n)}), rows_per_part=300, base=100))
     assert got == {i: (0, i) for i in range(n)}
 
 
 def test_a_star_with_one_hot_parent(spark):
-    got = solved(H.solve(links(spark, {i: 0 if i else None for i in range(2000)}), rows_per_part=300))
+    got = solved(H.solve(links(spark, {i: 0 if i else None for i in range(2000)}), rows_per_part=300, base=100))
     assert got == {i: (0, min(i, 1)) for i in range(2000)}
 
 
@@ -119,17 +119,39 @@ def _two_id_loops(n):
     return parents
 
 
-def test_many_small_loops_leave_the_quotient_when_hooked(spark, monkeypatch):
-    levels, hooked = [], H._hooked
+def test_many_small_loops_leave_the_quotient(spark, monkeypatch):
+    levels, solve = [], H._solve
 
-    def counted(t, level):
-        levels.append(level)
+    def counted(ws, t, n, rows, base, level=0):
+        levels.append((level, n))
         assert level < 40, "the loops are never solved"
-        return hooked(t, level)
+        return solve(ws, t, n, rows, base, level)
 
-    monkeypatch.setattr(H, "_hooked", counted)
+    monkeypatch.setattr(H, "_solve", counted)
     parents = _two_id_loops(60)
-    ws = H.Workspace(spark, "loops")
-    t = ws.cut(H._nodes(links(spark, parents)))
-    assert solved(H._solve(ws, t, len(parents), 5, hook=True)) == brute(parents)
-    assert levels
+    assert solved(H.solve(links(spark, parents), rows_per_part=5, base=3)) == brute(parents)
+    assert len(levels) > 2 and levels[-1][1] <= 3
+
+
+def test_contraction_shrinks_with_many_partitions(spark, monkeypatch):
+    """A shuffled chain, of whose links no partition holds more than a few by chance."""
+    sizes, solve = [], H._solve
+    monkeypatch.setattr(H, "_solve", lambda ws, t, n, *rest: sizes.append(n) or solve(ws, t, n, *rest))
+    n = 2000
+    parents = {i * 7919 % n: (i - 1) * 7919 % n if i else None for i in range(n)}
+    got = solved(H.solve(links(spark, parents), rows_per_part=50, base=800))
+    assert got == {i * 7919 % n: (0, i) for i in range(n)}
+    assert all(b < 0.85 * a for a, b in zip(sizes[1:], sizes[2:]))
+
+
+def test_hot_parents_with_inner_children(spark, monkeypatch):
+    """A parent of a third of all nodes, each with a child: its children aren't gathered, neither to contract nor to expand."""
+    hot, inner = [], H._inner
+    monkeypatch.setattr(H, "_inner", lambda *a: hot.append(inner(*a)) or hot[-1])
+    parents = {0: None, 1: 0} | {i: 1 for i in range(2, 700)} | {700 + i: i for i in range(2, 700)} | {2000 + i: 700 + i for i in range(2, 600)}
+    nodes = H.hierarchy(links(spark, parents), rows_per_part=100, base=30)
+    want = brute(parents)
+    got = {r["id"]: r for r in nodes.collect()}
+    assert {i: (r["root"], r["depth"]) for i, r in got.items()} == want
+    assert got[1]["size"] == len(parents) - 1 and got[5]["size"] == 3
+    assert any(h is not None for _, _, h in hot)

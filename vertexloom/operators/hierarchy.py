@@ -1,16 +1,15 @@
 """Parent-child links of unknown depth to full hierarchies.
 
-Chains of parents that stay inside one hash partition are contracted to the partition's exits by an array kernel; the exits
-form a smaller quotient forest, which is solved the same way, until it fits one task (``rows_per_part``, a fixed bound); then
-every level's answers are expanded from its exits. Where a level contracts poorly, as it must once there are far more
-partitions than links between neighbours, a hooking join takes over: a node whose coin is 0 and whose parent's coin is 1 is
-skipped by all its children, which removes a quarter of the inner nodes whatever the forest looks like. Loops come out as
-they are: closed in a partition, or as a loop of the quotient.
+Chains of parents that stay inside one partition are contracted to the partition's exits by an array kernel; the exits form a
+smaller quotient forest, which is solved the same way, until it fits one task; then every level's answers are expanded from its
+exits. What lies in one partition is chosen anew in each level: with a coin drawn by id and level, a node whose parent's coin is
+0 goes where its parent's key goes, any other keeps its own key. A node of coin 0 below one of coin 1 then lies with all its
+children, which skip it, so that a quarter of the inner nodes leaves the forest in every level whatever it looks like, and
+however many partitions there are. Loops come out as they are: closed in a partition, or as a loop of the quotient.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,14 @@ from vertexloom.plans.lineage import Workspace
 from vertexloom.plans.sizing import parts
 
 NODE = ", ".join(f"{f} long" for f in forest.FIELDS)
-ROWS_PER_PART = 250_000
-POOR = 0.6
+#: Nodes a task holds; the fewest partitions of a contraction; the quotient that is solved in one task.
+ROWS_PER_PART, LEAST_PARTS, BASE = 250_000, 4, 25_000
+#: Hot parents, with more children than a HUB-th of a partition's rows: at most HUB of them for each partition.
+HUB = 4
+#: A parent of so few children is never hot.
+COOL = 32
+#: Walk positions, or places in a chain, of one block of an equi-join.
+BLOCK = 1024
 
 
 def current_links(states: DataFrame, id_col: str = "id", parent_col: str = "predecessor", order_col: str = "superstep") -> DataFrame:
@@ -47,41 +52,57 @@ def _coin(c: Column, level: int) -> Column:
     return F.xxhash64(c, F.lit(level)).bitwiseAND(1)
 
 
-def _hooked(t: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes that are skipped, and all nodes with the skipped parents jumped over. A loop that has shrunk to a node that is its
-    own parent is closed, as in ``forest.contract``, so that it leaves the quotient."""
-    skipped = t.where((F.col("parent") != _none()) & (_coin(F.col("id"), level) == 0) & (_coin(F.col("parent"), level) == 1))
-    s = skipped.select(*[F.col(c).alias(f"_{c}") for c in t.columns])
-    met = F.col("_id").isNotNull()
-    sets = {
-        "parent": F.when(met, F.col("_parent")).otherwise(F.col("parent")),
-        "w": F.when(met, F.col("w") + F.col("_w")).otherwise(F.col("w")),
-        "m": F.least("m", "_m"),
-        "root": F.when(met, F.col("_root")).otherwise(F.col("root")),
-        "base": F.when(met, F.when(F.col("_base") < 0, -1).otherwise(F.col("w") + F.col("_base"))).otherwise(F.col("base")),
-    }
-    out = t.join(s, F.col("parent") == F.col("_id"), "left").select(*[sets.get(c, F.col(c)).alias(c) for c in t.columns])
-    looped = F.col("parent") == F.col("id")
-    closed = {"parent": _none(), "w": F.lit(0).cast("long"), "root": F.col("m"), "base": F.lit(-1).cast("long")}
-    return skipped, out.select(*[F.when(looped, closed[c]).otherwise(F.col(c)).alias(c) if c in closed else F.col(c) for c in t.columns])
-
-
-def _solve(ws: Workspace, t: DataFrame, n: int, rows_per_part: int, level: int = 0, hook: bool = False) -> DataFrame:
+def _inner(ws: Workspace, t: DataFrame, n: int, p: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """The nodes of ``t`` that are some node's parent, their number, and the hot parents ``(hub)``, if there are any.
+
+    A hot parent has more than a HUB-th of an even partition of ``t``, so there are at most ``HUB * p`` of them: a bound by the number
+    of tasks, which makes them safe to broadcast. A hot parent needn't be a node.
+    """
+    kids = t.where(F.col("parent") != _none()).groupBy(F.col("parent").alias("_id")).agg(F.count(F.lit(1)).alias("_kids"))
+    hot = F.col("_kids") > max(n / (HUB * p), COOL)
+    known = F.col("id").isNotNull()
+    every, seen = ws.cut_measured(kids.join(t, F.col("id") == F.col("_id"), "left"), hubs=F.count(F.when(hot, 1)), n=F.count(F.when(known, 1)))
+    hubs = every.where(hot).select(F.col("_id").alias("hub")) if seen["hubs"] else None
+    return every.where(known).select(t.columns), seen["n"], hubs
+
+
+def _placed(t: DataFrame, hubs: DataFrame | None, p: int, level: int) -> DataFrame:
+    """Into ``p`` partitions, each node with its parent if that has coin 0. The children of a hot parent stay where they are."""
+    join = (F.col("parent") != _none()) & (_coin(F.col("parent"), level) == 0)
+    if hubs is not None:
+        t = t.join(F.broadcast(hubs), F.col("parent") == F.col("hub"), "left")
+        join = join & F.col("hub").isNull()
+    return t.withColumn("_key", F.when(join, F.col("parent")).otherwise(F.col("id"))).repartition(p, "_key").drop("_key", "hub")
+
+
+def _expanded(t: DataFrame, answers: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``t`` with the answers ``(_id, ...)`` of its parents, NULL where there is none. The rows of a hot parent aren't gathered."""
+    if hubs is None:
+        return t.join(answers, F.col("parent") == F.col("_id"), "left")
+    cols = [c for c in answers.columns if c != "_id"]
+    hot = answers.join(F.broadcast(hubs), F.col("_id") == F.col("hub")).select("hub", *[F.col(c).alias(f"_hot{c}") for c in cols])
+    met = t.join(F.broadcast(hot), F.col("parent") == F.col("hub"), "left")
+    # The rows that have met theirs are spread by their own ids, where no answer lies.
+    spread = met.withColumn("_spread", F.when(F.col("hub").isNotNull(), F.xxhash64("id").bitwiseOR(1)).otherwise(F.lit(0)))
+    cold = answers.withColumn("_at", F.lit(0).cast("long"))
+    out = spread.join(cold, (F.col("parent") == F.col("_id")) & (F.col("_spread") == F.col("_at")), "left")
+    return out.select(*t.columns, F.coalesce("_id", "hub").alias("_id"), *[F.coalesce(c, f"_hot{c}").alias(c) for c in cols])
+
+
+def _solve(ws: Workspace, t: DataFrame, n: int, rows_per_part: int, base: int, level: int = 0) -> DataFrame:
     """``(id, root, depth)`` of the nodes in the step table ``t``."""
     kernel = whole_partition(forest.contract)
-    if n <= rows_per_part:
+    if level and n <= base:
         return t.repartition(1).mapInArrow(kernel, NODE).select("id", "root", F.col("base").alias("depth"))
-    if hook:
-        out = ws.cut(_hooked(t, level)[1])
-    else:
-        out = ws.cut(t.repartition(parts(n, rows_per_part), "id").mapInArrow(kernel, NODE))
-    exits = out.where(F.col("parent") != _none()).select(F.col("parent").alias("id")).distinct()
-    quotient, seen = ws.cut_measured(out.join(exits, "id", "left_semi"), n=F.count(F.lit(1)))
-    ws.drop(t)
-    above = _solve(ws, quotient, seen["n"], rows_per_part, level + 1, hook or seen["n"] > POOR * n)
-    above = above.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+    p = max(LEAST_PARTS, parts(n, rows_per_part))
+    inner, m, hubs = _inner(ws, t, n, p)
+    contracted = ws.cut(_placed(inner, hubs, max(LEAST_PARTS, parts(m, rows_per_part)), level).mapInArrow(kernel, NODE))
+    above = _solve(ws, contracted, m, rows_per_part, base, level + 1)
+    answers = above.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+    if hubs is not None:
+        answers = ws.cut(answers)  # read twice
     met = F.col("_id").isNotNull()
-    return out.join(above, F.col("parent") == F.col("_id"), "left").select(
+    return _expanded(t, answers, hubs).select(
         "id",
         F.when(met, F.col("_root")).otherwise(F.col("root")).alias("root"),
         F.when(met, F.when(F.col("_depth") < 0, -1).otherwise(F.col("w") + F.col("_depth"))).otherwise(F.col("base")).cast("long").alias("depth"),
@@ -95,16 +116,17 @@ def _nodes(links: DataFrame, w: str | None = None) -> DataFrame:
     return links.select("id", parent.alias("parent"), step.alias("w"), F.col("id").alias("m"), F.col("id").alias("root"), (step if w else F.lit(0).cast("long")).alias("base"))
 
 
-def solve(links: DataFrame, ws: Workspace | None = None, rows_per_part: int = ROWS_PER_PART, w: str | None = None) -> DataFrame:
+def solve(links: DataFrame, ws: Workspace | None = None, rows_per_part: int = ROWS_PER_PART, w: str | None = None, base: int = BASE) -> DataFrame:
     """``(id, root, depth)`` for each row of ``links (id, parent)``, whose ids are unique and not NULL.
 
     A node whose parent is NULL or no id of the table is a root of depth 0. A node on a closed loop, or whose parents lead into
     one, has depth -1 and the loop's smallest id as root. An empty table gives an empty result. With ``w``, the depth is the sum
-    of that non-negative column from the root to the node, both included. Other columns of ``links`` are ignored.
+    of that non-negative column from the root to the node, both included. Other columns of ``links`` are ignored. A quotient of at
+    most ``base`` nodes is solved in one task; the table itself never is.
     """
     ws = ws or Workspace(links.sparkSession, "hierarchy")
     t, seen = ws.cut_measured(_nodes(links, w), n=F.count(F.lit(1)))
-    return _solve(ws, t, seen["n"], rows_per_part)
+    return _solve(ws, t, seen["n"], rows_per_part, base)
 
 
 def _sum_kernel(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -119,37 +141,36 @@ def _exits_kernel(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"id": out["id"], "parent": out["parent"], "weight": weight}
 
 
-def _sums(ws: Workspace, t: DataFrame, n: int, rows_per_part: int, level: int = 0, hook: bool = False) -> DataFrame:
+def _sums(ws: Workspace, t: DataFrame, n: int, rows_per_part: int, base: int, level: int = 0) -> DataFrame:
     """``(id, total)``: the weight of every node's subtree. ``t (id, parent, weight)`` has no loops and no unknown parents."""
     add = whole_partition(_sum_kernel)
-    if n <= rows_per_part:
+    if level and n <= base:
         return t.repartition(1).mapInArrow(add, "id long, total long")
-    if hook:
-        skipped = t.where((F.col("parent") != _none()) & (_coin(F.col("id"), level) == 0) & (_coin(F.col("parent"), level) == 1))
-        up = skipped.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"))
-        gifts = skipped.groupBy(F.col("parent").alias("_to")).agg(F.sum("weight").alias("_w"))
-        kept = (
-            t.join(skipped.select("id"), "id", "left_anti").join(gifts, F.col("id") == F.col("_to"), "left")
-            .join(up, F.col("parent") == F.col("_id"), "left")
-            .select("id", F.coalesce("_parent", "parent").alias("parent"), (F.col("weight") + F.coalesce("_w", F.lit(0))).alias("weight"))
-        )
-        kept, seen = ws.cut_measured(kept, n=F.count(F.lit(1)))
-        totals = ws.cut(_sums(ws, kept, seen["n"], rows_per_part, level + 1, True))
-        below = t.join(totals, "id").groupBy(F.col("parent").alias("_to")).agg(F.sum("total").alias("_t"))
-        late = skipped.join(below, F.col("id") == F.col("_to"), "left").select("id", (F.col("weight") + F.coalesce("_t", F.lit(0))).alias("total"))
-        return totals.unionByName(late)
-    p = parts(n, rows_per_part)
-    out = ws.cut(t.repartition(p, "id").mapInArrow(whole_partition(_exits_kernel), "id long, parent long, weight long"))
+    p = max(LEAST_PARTS, parts(n, rows_per_part))
+    inner, m, hubs = _inner(ws, t.select("id", "parent"), n, p)
+    # Leaves are their own totals; their parents take them over before anything is placed.
+    leaves = ws.cut(t.join(inner.select("id"), "id", "left_anti"))
+    gifts = leaves.where(F.col("parent") != _none()).groupBy(F.col("parent").alias("_to")).agg(F.sum("weight").alias("_w"))
+    own = t.join(inner.select("id"), "id", "left_semi").join(gifts, F.col("id") == F.col("_to"), "left")
+    q = max(LEAST_PARTS, parts(m, rows_per_part))
+    placed = _placed(own.select("id", "parent", (F.col("weight") + F.coalesce("_w", F.lit(0))).alias("weight")), hubs, q, level)
+    own = ws.cut(placed.withColumn("part", F.spark_partition_id().cast("long")))
+    by_part = lambda rows: rows.repartitionById(q, F.col("part").cast("int")).drop("part")
+    out = ws.cut(by_part(own).mapInArrow(whole_partition(_exits_kernel), "id long, parent long, weight long"))
     hung = out.where(F.col("parent") != _none()).groupBy(F.col("parent").alias("id")).agg(F.sum("weight").alias("weight"))
     quotient, seen = ws.cut_measured(out.select("id", "parent").join(hung, "id"), n=F.count(F.lit(1)))
-    ws.drop(out)
-    above = _sums(ws, quotient, seen["n"], rows_per_part, level + 1, seen["n"] > POOR * n)
+    above = _sums(ws, quotient, seen["n"], rows_per_part, base, level + 1)
     gains = above.select("id", F.col("total").alias("_gain"))
-    fuller = t.join(gains, "id", "left").select("id", "parent", (F.col("weight") + F.coalesce("_gain", F.lit(0))).alias("weight"))
-    return fuller.repartition(p, "id").mapInArrow(add, "id long, total long")
+    fuller = own.join(gains, "id", "left").select("id", "parent", (F.col("weight") + F.coalesce("_gain", F.lit(0))).alias("weight"), "part")
+    return by_part(fuller).mapInArrow(add, "id long, total long").unionByName(leaves.select("id", F.col("weight").alias("total")))
+
+
+def _sibling_order(c: str) -> Column:
+    """Children are visited in this order: evenly spread LONGs, by multiplication, so that other engines can follow it too."""
+    return ((F.pmod(F.col(c), F.lit(1 << 31)) * F.lit(2654435761)) % F.lit(1 << 32) - F.lit(1 << 31)) * F.lit(1 << 32)
 
 
-def hierarchy(links: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+def hierarchy(links: DataFrame, rows_per_part: int = ROWS_PER_PART, base: int = BASE) -> DataFrame:
     """Each node's place in its tree, in space proportional to the nodes: paths and descendants without listing them per node.
 
     ``links`` as in ``solve``. Columns: ``id, parent, root, depth``; ``size``, the nodes of its subtree, itself included;
@@ -163,22 +184,22 @@ def hierarchy(links: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame
     ws = Workspace(spark, "hierarchy")
     links = ws.cut(links.select("id", "parent"))
     placed, seen = ws.cut_measured(
-        solve(links, ws, rows_per_part).join(links, "id").withColumn("parent", F.when(F.col("depth") != 0, F.col("parent"))),
+        solve(links, ws, rows_per_part, base=base).join(links, "id").withColumn("parent", F.when(F.col("depth") != 0, F.col("parent"))),
         n=F.count(F.lit(1)),
     )
     tree = placed.where("depth >= 0").select("id", F.coalesce("parent", _none()).alias("parent"))
     ones = ws.cut(tree.withColumn("weight", F.lit(1).cast("long")))
-    sizes = _sums(ws, ones, seen["n"], rows_per_part)
+    sizes = _sums(ws, ones, seen["n"], rows_per_part, base)
     sized = ws.cut(placed.where("depth >= 0").join(sizes.withColumnRenamed("total", "size"), "id"))
-    kids = sized.where("parent IS NOT NULL").select("id", "parent", "size", F.xxhash64("id").alias("_h"))
+    kids = sized.where("parent IS NOT NULL").select("id", "parent", "size", _sibling_order("id").alias("_h"))
     before = prefix_sums(kids, ["parent"], "_h", "id", "size").select("id", F.col("before").alias("_before"))
     heavy = kids.groupBy("parent").agg(F.max(F.struct("size", (-F.col("id")).alias("_neg"))).alias("_best")).select((-F.col("_best._neg")).alias("id"), F.lit(True).alias("_heavy"))
     steps = ws.cut(
         sized.join(before, "id", "left").join(heavy, "id", "left")
         .select("id", "parent", F.coalesce(F.col("_before") + 1, F.lit(1)).alias("step"), F.when(F.col("_heavy"), F.col("parent")).alias("_up"))
     )
-    pre = solve(steps, ws, rows_per_part, w="step").select("id", F.col("depth").alias("pre"))
-    chain = solve(steps.select("id", F.col("_up").alias("parent")), ws, rows_per_part).select("id", F.col("root").alias("chain"), F.col("depth").alias("pos"))
+    pre = solve(steps, ws, rows_per_part, w="step", base=base).select("id", F.col("depth").alias("pre"))
+    chain = solve(steps.select("id", F.col("_up").alias("parent")), ws, rows_per_part, base=base).select("id", F.col("root").alias("chain"), F.col("depth").alias("pos"))
     whole = sized.join(pre, "id").join(chain, "id")
     looped = placed.where("depth < 0")
     return whole.unionByName(looped, allowMissingColumns=True).select("id", "parent", "root", "depth", "size", "pre", "chain", "pos")
@@ -216,17 +237,24 @@ def full_paths(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     hops = done[0]
     for d in done[1:]:
         hops = hops.unionByName(d)
-    on = hops.join(nodes.withColumnRenamed("id", "_member"), "chain").where("pos <= _upto")
+    # Only the blocks of a chain that the path passes are joined.
+    hops = hops.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_upto") / BLOCK))))
+    on = hops.join(nodes.withColumnRenamed("id", "_member").withColumn("_block", F.floor(F.col("pos") / BLOCK)), ["chain", "_block"]).where("pos <= _upto")
     return on.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "_member"))), lambda x: x["_member"]).alias("path"))
 
 
 def descendants(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, below)``: one row for each id below a stated id, by a range join of ``pre`` within the root.
+    """``(id, below)``: one row for each id below a stated id.
 
-    As with ``full_paths``, state the ids: all pairs have the size of all paths together.
+    The range ``(pre, pre + size)`` of a stated id is covered by aligned blocks, so the join is on the root and the block: no task meets
+    more than a block of nodes for each range, and the work follows the size of the result. As with ``full_paths``, state the ids:
+    all pairs have the size of all paths together. Unknown ids, ids behind loops and leaves have no row.
     """
-    tops = ids.select(F.col("id").cast("long")).distinct().join(nodes, "id").select("id", F.col("root").alias("_root"), F.col("pre").alias("_lo"), (F.col("pre") + F.col("size")).alias("_hi"))
-    return tops.join(nodes.withColumnRenamed("id", "below"), (F.col("root") == F.col("_root")) & (F.col("pre") > F.col("_lo")) & (F.col("pre") < F.col("_hi"))).select("id", "below")
+    block = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / BLOCK)
+    tops = ids.select(F.col("id").cast("long")).distinct().join(nodes.where("size > 1"), "id").select("id", F.col("root").alias("_root"), F.col("pre").alias("_lo"), (F.col("pre") + F.col("size")).alias("_hi"))
+    tops = tops.withColumn("_block", F.explode(F.sequence(block(F.col("_lo") + 1), block(F.col("_hi") - 1))))
+    below = nodes.where("size IS NOT NULL").select(F.col("id").alias("below"), "root", "pre", block("pre").alias("_at"))
+    return tops.join(below, (F.col("root") == F.col("_root")) & (F.col("_at") == F.col("_block"))).where("pre > _lo AND pre < _hi").select("id", "below")
 
 
 def path_hops(nodes: DataFrame) -> DataFrame:
