@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vertexloom.operators import algorithms as A
 from vertexloom.operators import engine
@@ -119,26 +120,44 @@ def test_buckets_and_kernels_agree(spark):
 
 def test_one_exchange_per_superstep(spark):
     """The state and the edges stay where they are; only the combined messages move."""
-    from pyspark.sql import functions as F
-
-    from vertexloom.plans.lineage import Workspace, settings
-
     g = graph(spark, [(i, (i * 7) % 50, 1) for i in range(50)] * 3)
     p = A.wcc_program()
-    run = engine.Run(Workspace(spark, "plan"), engine.arcs(g, p), 300, p, edges_per_bucket=100)
+    run = engine.Run(engine.arcs(g, p), 300, p, edges_per_bucket=100, least_buckets=1)
     state, _ = run.start(g.vertices())
     assert run.buckets == 3
-    with settings(spark, spark__sql__shuffle__partitions=run.buckets):
-        plan = run.superstep(state).withColumn("x", F.lit(1))._jdf.queryExecution().executedPlan().toString()
+    plan = run.ws._bound(run.superstep(state).withColumn("x", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan
 
 
-def test_few_active_vertices_read_their_buckets_only(spark, monkeypatch):
-    from vertexloom.plans.lineage import Workspace
+def test_hot_sources_are_spread(spark, monkeypatch):
+    """Half of all arcs start at one vertex and end at another: the same results, and no bucket holds the hot vertex's arcs."""
+    monkeypatch.setattr(engine, "COOL", 20)
+    rng = random.Random(3)
+    g = graph(spark, [(0, rng.randrange(300), 1) for _ in range(300)] + [(rng.randrange(300), 7, 2) for _ in range(300)] + [(i, (i * 11) % 300, 3) for i in range(300)])
+    for p in (A.wcc_program(), A.bfs_program(0), A.sssp_program(0), A.pagerank_program(2)):
+        n = g.num_edges * (2 if p.direction == "both" else 1)
+        run = engine.Run(engine.arcs(g, p), n, p, least_buckets=6)
+        assert run.hot is not None and run.buckets == 6
+        per_bucket = [r["n"] for r in run.arcs.groupBy(F.spark_partition_id()).agg(F.count("src").alias("n")).collect()]
+        assert max(per_bucket) < n / 3 and run.arcs.count() + run.hot.count() == engine.arcs(g, p).count()
+        for c in p.output or p.state:
+            got, want = column(engine.run(g, p, in_task=0, least_buckets=6), c), column(engine.run(g, p), c)
+            assert got == (pytest.approx(want) if p.name == "pagerank" else want)
+    assert sorted(map(tuple, A.scc(g, in_task=0).collect())) == sorted(map(tuple, A.scc(g).collect()))
+
+
+def test_buckets_never_reach_spark_s_limit(spark, monkeypatch):
+    monkeypatch.setattr(engine, "MOST_BUCKETS", 3)
+    g = graph(spark, [(i, i + 1, 1) for i in range(40)])
+    run = engine.Run(engine.arcs(g, A.bfs_program(0)), 40, A.bfs_program(0), edges_per_bucket=1)
+    assert run.buckets == 3 and engine.MOST_BUCKETS < 100_000
+
 
+def test_few_active_vertices_read_their_buckets_only(spark, monkeypatch):
+    monkeypatch.setattr(engine, "MANY_BUCKETS", 8)
     g = graph(spark, [(i, i + 1, 1) for i in range(40)])
     p = A.bfs_program(0)
-    run = engine.Run(Workspace(spark, "few"), engine.arcs(g, p), 40, p, edges_per_bucket=4)
+    run = engine.Run(engine.arcs(g, p), 40, p, edges_per_bucket=4)
     state, active = run.start(g.vertices())
     plan = run.superstep(state, active)._jdf.queryExecution().executedPlan().toString()
     assert run.buckets == 10 and "SelectedBucketsCount: 1 out of 10" in plan

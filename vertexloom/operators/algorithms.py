@@ -182,11 +182,11 @@ def scc(graph: Graph, edges_per_bucket: int = engine.EDGES_PER_BUCKET, in_task:
         if not n:
             break
         vertices = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        coloured = engine.Run(ws, edges, n, _colour_program(), edges_per_bucket).fixpoint(vertices).select("id", "colour")
+        coloured = engine.Run(edges, n, _colour_program(), edges_per_bucket).fixpoint(vertices).select("id", "colour")
         a, b = coloured.select(F.col("id").alias("src"), F.col("colour").alias("_a")), coloured.select(F.col("id").alias("dst"), F.col("colour").alias("_b"))
         within = ws.cut(edges.join(a, "src").join(b, "dst").where("_a = _b").select("src", "dst"))
         back = within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        reached = engine.Run(ws, back, n, _reach_program(), edges_per_bucket).fixpoint(coloured)
+        reached = engine.Run(back, n, _reach_program(), edges_per_bucket).fixpoint(coloured)
         found.append(reached.where("found").select("id", F.col("colour").alias("component_root")))
         done = reached.where("found").select(F.col("id").alias("v"))
         left, seen = ws.cut_measured(within.join(done, F.col("src") == done["v"], "left_anti").join(done, F.col("dst") == done["v"], "left_anti"), n=F.count(F.lit(1)))

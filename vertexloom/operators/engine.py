@@ -3,7 +3,8 @@
 State and edges are hash-bucketed by the vertex a superstep joins them on, so the join of the frontier with its edges and the
 merge of the combined messages into the state move nothing: **each superstep has one exchange, that of the messages, and they
 are combined before it**. Every superstep's state is a table in the shared folder; the number of active vertices is observed
-while it is written.
+while it is written. A source with more arcs than a part of an even bucket is hot: the arcs of hot sources are spread evenly
+over all tasks, and what these sources send is broadcast to them, so that no bucket waits for one vertex.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.arrow import gather, slices
 from vertexloom.operators.graph import Graph
-from vertexloom.plans.lineage import Workspace, settings
+from vertexloom.plans.lineage import Workspace
 from vertexloom.plans.sizing import parts
 
-EDGES_PER_BUCKET = 500_000
+#: At least as many buckets as the cluster has cores, and never as many as Spark refuses; beyond that, buckets grow.
+EDGES_PER_BUCKET, MOST_BUCKETS = 500_000, 50_000
+#: A source is hot from a HUB-th of an even bucket on, so there are at most HUB hot ones for each bucket; one of so few arcs is not.
+HUB, COOL = 4, 1000
 #: Up to so many active vertices of a graph of more than MANY_BUCKETS buckets are named in the scan of the arcs, which then reads
 #: their buckets and pages only: late supersteps of a long search don't scan the graph.
-FEW, MANY_BUCKETS = 1000, 8
+FEW, MANY_BUCKETS = 1000, 64
 #: A graph of at most so many edges and vertices is run by a program's kernel in one task: a superstep would take longer to plan
 #: than to compute. Larger ones, and all where ``in_task`` is 0, take supersteps.
 IN_TASK = 1_000_000
@@ -82,17 +86,26 @@ def arcs(graph: Graph, program: VertexProgram) -> DataFrame:
 
 
 class Run:
-    """The supersteps of one program over one set of arcs."""
-
-    def __init__(self, ws: Workspace, arcs_: DataFrame, n: int, program: VertexProgram, edges_per_bucket: int = EDGES_PER_BUCKET):
-        self.ws, self.program, self.steps = ws, program, 0
-        self.buckets = parts(n, edges_per_bucket)
-        self.arcs, _ = ws.cut_bucketed(arcs_.repartition(self.buckets, "src").sortWithinPartitions("src"), "src", self.buckets)
+    """The supersteps of one program over one set of ``n`` arcs."""
+
+    def __init__(self, arcs_: DataFrame, n: int, program: VertexProgram, edges_per_bucket: int = EDGES_PER_BUCKET, least_buckets: int | None = None):
+        spark = arcs_.sparkSession
+        least = spark.sparkContext.defaultParallelism if least_buckets is None else least_buckets
+        self.program, self.steps, self.buckets = program, 0, max(1, min(MOST_BUCKETS, max(least, parts(n, edges_per_bucket))))
+        # Its own session has as many shuffle partitions as there are buckets, so that the state stays in place when messages arrive.
+        self.ws = Workspace(spark, program.name, shuffle_partitions=self.buckets)
+        self.hubs, self.hot = None, None
+        if self.buckets > 1 and n > COOL:
+            counts = arcs_.groupBy(F.col("src").alias("hub")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(COOL, n / (HUB * self.buckets)))
+            hubs, seen = self.ws.cut_measured(counts.select("hub"), n=F.count(F.lit(1)))
+            if seen["n"]:
+                self.hubs = F.broadcast(hubs)  # at most HUB * MOST_BUCKETS rows
+                self.hot = self.ws.cut(arcs_.join(self.hubs, F.col("src") == F.col("hub"), "left_semi").repartition(self.buckets))
+                arcs_ = arcs_.join(self.hubs, F.col("src") == F.col("hub"), "left_anti")
+        self.arcs, _ = self.ws.cut_bucketed(arcs_.repartition(self.buckets, "src").sortWithinPartitions("src"), "src", self.buckets)
 
     def _write(self, state: DataFrame) -> tuple[DataFrame, int]:
-        # The exchange of the messages gets as many partitions as there are buckets, so that the state's side stays in place.
-        with settings(self.ws.spark, spark__sql__shuffle__partitions=self.buckets):
-            out, seen = self.ws.cut_bucketed(state, "id", self.buckets, n=F.count(F.when(F.col("active"), 1)))
+        out, seen = self.ws.cut_bucketed(state, "id", self.buckets, n=F.count(F.when(F.col("active"), 1)))
         return out, seen["n"]
 
     def start(self, vertices: DataFrame) -> tuple[DataFrame, int]:
@@ -105,7 +118,11 @@ class Run:
         senders = state.where("active") if p.frontier == "active" else state
         if p.frontier == "active" and active is not None and active <= FEW and self.buckets > MANY_BUCKETS:
             arcs_ = arcs_.where(F.col("src").isin([r["id"] for r in senders.select("id").collect()]))
-        sent = arcs_.join(senders.hint("shuffle_hash"), F.col("src") == F.col("id")).select("dst", F.expr(p.message).alias("msg"))
+        message = lambda joined: joined.select("dst", F.expr(p.message).alias("msg"))
+        sent = message(arcs_.join(senders.hint("shuffle_hash"), F.col("src") == F.col("id")))
+        if self.hot is not None:
+            speak = senders.join(self.hubs, F.col("id") == F.col("hub"), "left_semi")
+            sent = sent.unionByName(message(self.hot.join(F.broadcast(speak), F.col("src") == F.col("id"))))
         combined = sent.groupBy("dst").agg(F.expr(p.combine).alias("msg"))
         met = state.drop("active").join(combined.hint("shuffle_hash"), F.col("id") == F.col("dst"), "left").withColumn("_ok", F.coalesce(F.expr(p.accept), F.lit(False)))
         new = [F.when(F.col("_ok"), F.expr(p.apply[c])).otherwise(F.col(c)).alias(c) if c in p.apply else F.col(c) for c in p.state]
@@ -127,7 +144,7 @@ class Run:
                 raise ValueError(f"{p.name} does not converge: is there a cycle of negative weight?")
         if p.finalize:
             p.finalize(self.steps)
-        self.ws.drop(self.arcs)
+        self.ws.drop(self.arcs, self.hot)
         return state
 
 
@@ -145,17 +162,16 @@ def in_one_task(graph: Graph, arcs_: DataFrame, kernel: Callable[[int, dict[str,
     return arcs_.repartition(1).mapInArrow(run_kernel, schema)
 
 
-def run(graph: Graph, program: VertexProgram, edges_per_bucket: int = EDGES_PER_BUCKET, in_task: int = IN_TASK) -> DataFrame:
+def run(graph: Graph, program: VertexProgram, edges_per_bucket: int = EDGES_PER_BUCKET, in_task: int = IN_TASK, least_buckets: int | None = None) -> DataFrame:
     """``id`` and the program's output columns for every vertex of the dense domain."""
     check(graph, program)
-    ws = Workspace(graph.spark, program.name)
     vertices = graph.degrees() if program.needs_degrees else graph.vertices()
     output = program.output or list(program.state)
     if program.kernel and fits_task(graph, in_task):
         kinds = dict(graph.vertices().selectExpr(*(f"{e} AS {c}" for c, e in program.state.items() if c in output)).dtypes)
         return in_one_task(graph, arcs(graph, program), program.kernel, "id long, " + ", ".join(f"{c} {kinds[c]}" for c in output))
     n = graph.num_edges if graph.num_edges is not None else graph.edges.count()
-    state = Run(ws, arcs(graph, program), n * (2 if program.direction == "both" else 1), program, edges_per_bucket).fixpoint(vertices, graph.max_id + 1)
+    state = Run(arcs(graph, program), n * (2 if program.direction == "both" else 1), program, edges_per_bucket, least_buckets).fixpoint(vertices, graph.max_id + 1)
     return state.select("id", *output)
 
 
