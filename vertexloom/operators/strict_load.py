@@ -2,7 +2,7 @@
 
 The strict load is one regular expression of plain character classes (no nested repetition, so a line of any length is safe)
 and a range check; what conforms becomes an edge. The offsets that are left are found by an anti-join of the raw offsets with
-the loaded ones; only lines that fail reach the diagnosis.
+the loaded ones; only lines that fail reach the diagnosis, and only their text is shuffled.
 
 Blanks are space, tab and carriage return. A field is a run without blanks and quotes, or anything without quotes between two
 quotes. Lines that start with ``#`` are comments.
@@ -37,7 +37,7 @@ class Loaded:
 def _in_range(digits: Column) -> Column:
     """The LONG that digits stand for, leading zeros allowed; NULL if it is beyond the vertex ids."""
     short = F.ltrim(digits, F.lit("0"))
-    value = F.when(short == "", F.lit(0).cast("long")).when(F.length(short) <= 10, short.cast("long"))
+    value = F.when(short == "", F.lit(0).cast("long")).when(F.length(short) <= 10, short.try_cast("long"))
     return F.when(value <= MAX_VERTEX, value)
 
 
@@ -68,14 +68,17 @@ def load_edges(raw: DataFrame, line_col: str = "raw_line", offset: list[str] | N
     lines = raw.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(offset)], F.col(line_col).alias("_line"))
     lines = lines.where(~F.coalesce(F.startswith("_line", F.lit("#")), F.lit(False))).withColumn("_key", F.xxhash64("_line"))
     at = [f"_o{i}" for i in range(len(offset))]
-    # A conforming line holds two runs of digits and nothing but blanks and quotes around them.
-    ends = lines.where(F.col("_line").rlike(STRICT)).select(*at, "_key", F.regexp_extract_all("_line", F.lit(ID), F.lit(0)).alias("_ends"))
-    loaded = ends.select(*at, "_key", _in_range(F.col("_ends")[0]).alias("src_vert"), _in_range(F.col("_ends")[1]).alias("dst_vert"))
-    loaded = loaded.where("src_vert IS NOT NULL AND dst_vert IS NOT NULL")
+    # A conforming line is two runs of digits once quotes are blanks: the first field and the last, found without another pattern.
+    plain = F.trim(F.translate("_line", '"\t\r', "   "))
+    src, dst = _in_range(F.substring_index(plain, " ", 1)), _in_range(F.substring_index(plain, " ", -1))
+    fits = F.col("_line").rlike(STRICT) & src.isNotNull() & dst.isNotNull()
+    loaded = lines.where(fits).select(*at, "_key", src.alias("src_vert"), dst.alias("dst_vert"))
     took = loaded.select(*[F.col(c).alias(f"{c}_") for c in [*at, "_key"]])
     same = F.col("_key") == F.col("_key_")
     for c in at:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
     names = [F.col(a).alias(c) for a, c in zip(at, offset)]
-    rest = lines.join(took, same, "left_anti").select(*names, reason(F.col("_line")).alias("reason"))
+    # The raw side of the anti-join carries the text of lines that don't conform; the others' is not needed.
+    raw_offsets = lines.select(*at, "_key", F.when(~F.coalesce(fits, F.lit(False)), F.col("_line")).alias("_line"))
+    rest = raw_offsets.join(took, same, "left_anti").select(*names, reason(F.col("_line")).alias("reason"))
     return Loaded(loaded.select(*names, "src_vert", "dst_vert"), rest)
