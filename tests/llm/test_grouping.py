@@ -43,6 +43,7 @@ def got(spark, *tables):
 def last(request, monkeypatch):
     """With 3, nearly all rounds of the propagation run distributed."""
     monkeypatch.setattr(grouping, "LAST", request.param)
+    monkeypatch.setattr(grouping, "GAIN", 500 if request.param == 3 else grouping.GAIN)
     monkeypatch.setattr(grouping, "CHUNK", 50 if request.param == 3 else grouping.CHUNK)
 
 
@@ -70,3 +71,26 @@ def test_no_links(spark):
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-1, 9)), st.integers(0, 9)), max_size=12))
 def test_any_small_graph(spark, pairs):
     assert got(spark, pairs) == brute([pairs])
+
+
+def test_a_search_that_gains_little_ends(spark, monkeypatch):
+    """A shuffled path, of which a level of the search finds two vertices: it is left to the propagation within few jobs."""
+    monkeypatch.setattr(grouping, "CHUNK", 50)
+    rng = random.Random(5)
+    names = list(range(20_000))
+    rng.shuffle(names)
+    pairs = list(zip(names, names[1:]))
+    rng.shuffle(pairs)
+    levels, cut = [], grouping.Workspace.cut_measured
+    monkeypatch.setattr(grouping.Workspace, "cut_measured", lambda self, df, **m: levels.append(1) or cut(self, df, **m))
+    out = grouping.components([(spark.createDataFrame(pairs, "a long, b long").repartition(8), "a", "b")])
+    assert out.where("component_root = 0").count() == 20_000 == out.count()
+    assert len(levels) <= 30
+
+
+def test_the_search_starts_at_the_highest_degree_of_the_input(spark, monkeypatch):
+    """Repeated rows count: 5 has more rows than the larger component's 100."""
+    tops, peel = [], grouping._peel
+    monkeypatch.setattr(grouping, "_peel", lambda ws, edges, n, top: tops.append(top.first()["v"]) or peel(ws, edges, n, top))
+    pairs = [(100, i) for i in range(101, 130)] + [(5, 6)] * 40 + [(6, 7)]
+    assert got(spark, pairs) == brute([pairs]) and tops == [5]

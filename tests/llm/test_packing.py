@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from vertexloom.llm import packing
@@ -60,16 +61,45 @@ def test_nulls_repeats_and_empty(spark):
     assert packing.fill_report(packing.fill(d, b), b).first()["bins"] == 2
 
 
-def test_sweep_takes_the_smallest_gap_that_fits():
-    took, left = packing.sweep([7, 5, 5, 2], [10, 7, 5])
-    assert took == [1, 2, 0, 0] and left == [3, 0, 0]
-    assert packing.sweep([4], [3]) == ([-1], [3]) and packing.sweep([], [3]) == ([], [3]) and packing.sweep([0], []) == ([-1], [])
-
-
-def test_match_ranges_pairs_each_gap_once():
-    rows = [dict(con=0, part=p, is_gap=g, n=n) for p, g, n in ((3, 1, 2), (2, 0, 1), (2, 1, 3), (1, 0, 3), (0, 0, 5))]
-    pieces, matched = packing.match_ranges(rows)
-    gaps = [(g, r + shift) for _, _, lo, hi, g, shift in pieces for r in range(lo, hi + 1)]
-    items = [(p, r) for _, p, lo, hi, _, _ in pieces for r in range(lo, hi + 1)]
-    assert matched == {0: 5} and len(set(gaps)) == len(gaps) == len(set(items)) == 5
-    assert all(r < {3: 2, 2: 3}[g] for g, r in gaps)
+def best_fit(sizes, spaces, capacity):
+    """One item at a time, from the largest down, into the fullest container that holds it."""
+    left = list(spaces)
+    for size in sorted(sizes, reverse=True):
+        fits = [(s, i) for i, s in enumerate(left) if s >= size]
+        if fits:
+            left[min(fits)[1]] -= size
+        else:
+            left.append(capacity - size)
+    return left
+
+
+def test_sweep_is_best_fit_decreasing():
+    rng = random.Random(2)
+    for _ in range(60):
+        cap = rng.choice([7, 30, 200])
+        sizes = [rng.randrange(0, cap + 1) if rng.random() < 0.4 else rng.randrange(0, cap // 5 + 1) for _ in range(rng.randrange(0, 120))]
+        spaces = [rng.randrange(0, cap + 1) for _ in range(rng.randrange(0, 8))]
+        took, left = packing.sweep(np.array(sizes, np.int64), np.array(spaces, np.int64), cap)
+        assert sorted(left.tolist()) == sorted(best_fit(sizes, spaces, cap))
+        held = [0] * len(left)
+        for size, gap in zip(sizes, took.tolist()):
+            held[gap] += size
+        assert [s - h for s, h in zip(spaces + [cap] * (len(left) - len(spaces)), held)] == left.tolist()
+
+
+@pytest.mark.parametrize("ranges", [10, 40])
+def test_rounds_do_not_follow_the_ranges(spark, monkeypatch, ranges):
+    """Small items: few rounds however many ranges there are, and within a hundredth of best fit on one machine."""
+    rounds, dealt = [], packing._dealt
+    monkeypatch.setattr(packing, "_dealt", lambda both, stripes: rounds.append(dict(stripes)) or dealt(both, stripes))
+    rng = random.Random(ranges)
+    sizes = [1 + int(rng.lognormvariate(4, 1)) % 4000 for _ in range(12_000)]
+    items = spark.createDataFrame([(0, i, s) for i, s in enumerate(sizes)], "con long, id long, size long").repartition(4)
+    packed = packing.pack(items, {0: 8192}, rows_per_range=12_000 // ranges).collect()
+    assert rounds[0] == {0: ranges} and len(rounds) <= 5
+    bins = defaultdict(int)
+    for r in packed:
+        bins[r["bin"]] += r["size"]
+    assert sorted(r["id"] for r in packed) == list(range(12_000)) and max(bins.values()) <= 8192
+    _, left = packing.sweep(np.array(sizes), np.empty(0, np.int64), 8192)
+    assert len(bins) <= 1.01 * len(left) + 1

@@ -1,15 +1,16 @@
 """Filling containers of fixed capacity with items of varying length: bulk-synchronous best fit.
 
-Each round range-sorts the open items and the containers' gaps by size together. Within a range, a sweep from the largest item
-down gives every item the smallest gap that holds it (its successor), and puts the gap's remainder back as long as an item of
-the range may fit. Items left over by a range take gaps left over by the nearest ranges above: ranges are matched by their
-counts, items and gaps by their ranks, so no two items meet in one gap. Then the gaps are updated, new containers are opened
-for the volume that found no gap, and the next round begins.
+Each round range-sorts the open items and the gaps by size, and deals them by their rank within the range: every stripe gets its
+share of the items and gaps of every size. All stripes then sweep at once, from the largest size down: items of one size take the
+smallest gaps that hold them (their successors), as many to a gap as it holds, and the k-th item of the size goes to the gap
+whose running total covers k, so no two items meet in one place. What finds no gap opens new containers. A container that stays
+half empty gives its items back; each stripe has at most one. Gaps are updated, and the next round begins with fewer stripes,
+until what was given back is less than one container in a thousand.
 """
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -23,109 +24,92 @@ from vertexloom.operators.prefix import prefix_sums
 from vertexloom.plans.lineage import Workspace
 from vertexloom.plans.sizing import parts
 
-ROWS_PER_RANGE = 100_000
-#: More ranges than this, and more container kinds, are not made: what the driver matches and broadcasts stays bounded.
-MOST_RANGES, MOST_KINDS = 20_000, 1000
-#: Containers are opened by volume once a round places fewer items than this share of its gaps and of its items.
-SLOW = 0.2
-
-
-class Gaps:
-    """Gaps by their free space: a list for each size, and the sizes in use as the bits of one integer."""
-
-    def __init__(self) -> None:
-        self.lists: dict[int, list[int]] = {}
-        self.bits = 0
-
-    def put(self, space: int, gap: int) -> None:
-        self.lists.setdefault(space, []).append(gap)
-        self.bits |= 1 << space
-
-    def take(self, size: int) -> tuple[int, int] | None:
-        """The smallest gap of at least ``size``, with its space."""
-        rest = self.bits >> size
-        if not rest:
-            return None
-        space = size + (rest & -rest).bit_length() - 1
-        found = self.lists[space]
-        gap = found.pop()
-        if not found:
-            self.bits ^= 1 << space
-        return space, gap
-
-
-def sweep(sizes: list[int], spaces: list[int]) -> tuple[list[int], list[int]]:
-    """For items from the largest down, the gap each takes (-1: none), and what is left of each gap."""
-    gaps = Gaps()
-    for gap in range(len(spaces) - 1, -1, -1):
-        gaps.put(spaces[gap], gap)
-    left, took = list(spaces), []
-    least = sizes[-1] if sizes else 0
-    for size in sizes:
-        hit = gaps.take(size)
-        if hit is None:
-            took.append(-1)
-            continue
-        space, gap = hit
-        took.append(gap)
-        left[gap] = space - size
-        if left[gap] >= least:
-            gaps.put(left[gap], gap)
+#: Rows that one stripe sweeps, and the fewest stripes of the first round for each capacity.
+ROWS_PER_RANGE, LEAST_STRIPES = 100_000, 4
+#: More kinds of containers are refused: their names and stripes are the driver's.
+MOST_KINDS = 1000
+#: Rounds end once fewer containers than this share were given back.
+ENOUGH = 0.001
+
+
+def sweep(sizes: np.ndarray, spaces: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best fit from the largest item down: the gap of each item, and the space left of each gap.
+
+    Gaps after those given are new containers of ``capacity``. All items of one size are placed at once, so the steps follow the
+    number of different sizes and spaces met, not that of the items.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    took, used_spaces = np.empty(len(sizes), np.int64), []
+    gaps_of: dict[int, np.ndarray] = {}
+
+    def put(space: int, gaps: np.ndarray) -> None:
+        if space in gaps_of:
+            gaps_of[space] = np.concatenate([gaps_of[space], gaps])
+        else:
+            gaps_of[space] = gaps
+            insort(used_spaces, space)
+
+    seq = np.argsort(spaces, kind="stable")
+    for gaps in np.split(seq, np.flatnonzero(np.diff(spaces[seq])) + 1) if len(seq) else []:
+        put(int(spaces[gaps[0]]), gaps)
+    fresh = len(spaces)
+    ranked = sizes[order]
+    ends = np.append(np.flatnonzero(np.diff(ranked)) + 1, len(ranked)) if len(ranked) else []
+    start = 0
+    for end in ends:
+        size = int(ranked[start])
+        while start < end:
+            todo = int(end) - start
+            at = bisect_left(used_spaces, size)
+            if at < len(used_spaces):
+                space = used_spaces.pop(at)
+                gaps = gaps_of.pop(space)
+            else:
+                space = capacity
+                gaps = np.arange(fresh, fresh + -(-todo // max(1, space // size)) if size else fresh + 1)
+                fresh += len(gaps)
+            each = space // size if size else todo
+            n_gaps = min(len(gaps), -(-todo // each))
+            n = min(todo, n_gaps * each)
+            took[order[start : start + n]] = np.repeat(gaps[:n_gaps], each)[:n]  # the k-th item of the size in place k
+            start += n
+            last = n - (n_gaps - 1) * each
+            for rest, some in ((space, gaps[n_gaps:]), (space - each * size, gaps[: n_gaps - 1]), (space - last * size, gaps[n_gaps - 1 : n_gaps])):
+                if len(some):
+                    put(rest, some)
+    left = np.empty(fresh, np.int64)
+    for space, gaps in gaps_of.items():
+        left[gaps] = space
     return took, left
 
 
-def _swept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range: rows (kind_of, gap?, id, size) of one or, at its borders, several containers."""
-    from pyspark import TaskContext
-
-    c = gather(batches)
-    if not c or not len(c["id"]):
-        return
-    part = TaskContext.get().partitionId()
-    order = np.lexsort((c["id"], -c["size"], c["is_gap"], c["con"]))
-    con, is_gap, ids, size = (c[k][order] for k in ("con", "is_gap", "id", "size"))
-    gap_of = np.full(len(ids), -1, np.int64)
-    left = size.copy()
-    for k in np.unique(con):
-        items, gaps = np.flatnonzero((con == k) & (is_gap == 0)), np.flatnonzero((con == k) & (is_gap == 1))
-        took, rest = sweep(size[items].tolist(), size[gaps].tolist())
-        took = np.array(took, np.int64)
-        hit = took >= 0
-        gap_of[items[hit]] = ids[gaps[took[hit]]]
-        left[gaps] = rest
-    # Ranks among what the range leaves over: items from the largest, gaps from the smallest.
-    rank = np.full(len(ids), -1, np.int64)
-    for k in np.unique(con):
-        open_items = np.flatnonzero((con == k) & (is_gap == 0) & (gap_of < 0))
-        rank[open_items] = np.arange(len(open_items))
-        free = np.flatnonzero((con == k) & (is_gap == 1) & (left == size))
-        rank[free[::-1]] = np.arange(len(free))
-    yield from slices({"con": con, "is_gap": is_gap, "id": ids, "size": size, "gap_of": gap_of, "space": left, "part": np.full(len(ids), part), "rank": rank})
-
-
-SWEPT = "con long, is_gap long, id long, size long, gap_of long, space long, part long, rank long"
-
-
-def match_ranges(counts: list) -> tuple[list[tuple], dict[int, int]]:
-    """From ``(con, part, is_gap, n)`` of what the ranges leave over: pieces ``(con, item part, first rank, last rank, gap part,
-    shift)`` that pair the items of a range with gaps of ranges above, the nearest first; and the items matched, by container."""
-    n = {(r["con"], r["part"], r["is_gap"]): r["n"] for r in counts}
-    pieces, matched = [], {}
-    for con in {r["con"] for r in counts}:
-        stack: list[list[int]] = []  # gap part, next rank, ranks left
-        for part in sorted({r["part"] for r in counts if r["con"] == con}, reverse=True):
-            want, at = n.get((con, part, 0), 0), 0
-            while want and stack:
-                top = stack[-1]
-                m = min(want, top[2])
-                pieces.append((con, part, at, at + m - 1, top[0], top[1] - at))
-                matched[con] = matched.get(con, 0) + m
-                at, want, top[1], top[2] = at + m, want - m, top[1] + m, top[2] - m
-                if not top[2]:
-                    stack.pop()
-            if free := n.get((con, part, 1), 0):
-                stack.append([part, 0, free])
-    return pieces, matched
+SWEPT = "con long, is_gap long, id long, size long, bin long, back long"
+#: Bits of a container's number: the round above, then the stripe, then the place in the stripe.
+STRIPE_BITS, PLACE_BITS = 24, 28
+
+
+def _sweeper(round_: int, capacity: dict[int, int], last: set[int]):
+    """One stripe. Items get their container; a row for each container has the space left. ``back``: given back for the next round."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = gather(batches)
+        if not c or not len(c["id"]):
+            return
+        con = int(c["con"][0])  # a stripe is of one capacity
+        rows = np.lexsort((c["id"], c["is_gap"]))
+        items, gaps = rows[c["is_gap"][rows] == 0], rows[c["is_gap"][rows] == 1]
+        took, left = sweep(c["size"][items], c["size"][gaps], capacity[con])
+        new = np.arange(len(left) - len(gaps)) + (((round_ << STRIPE_BITS) + int(c["stripe"][0])) << PLACE_BITS)
+        bins = np.concatenate([c["id"][gaps], new])
+        open_ = np.zeros(len(left), np.int64)
+        if con not in last:
+            open_[len(gaps) :] = left[len(gaps) :] * 2 >= capacity[con]
+        yield from slices({
+            "con": np.full(len(items) + len(left), con), "is_gap": np.repeat([0, 1], [len(items), len(left)]), "id": np.concatenate([c["id"][items], bins]),
+            "size": np.concatenate([c["size"][items], left]), "bin": np.concatenate([bins[took], bins]), "back": np.concatenate([open_[took], open_]),
+        })
+
+    return run
 
 
 def _by_container(rows: DataFrame, **measures: Column) -> dict[int, dict]:
@@ -133,71 +117,50 @@ def _by_container(rows: DataFrame, **measures: Column) -> dict[int, dict]:
     return {r["con"]: r.asDict() for r in rows.groupBy("con").agg(*(c.alias(k) for k, c in measures.items())).collect()}
 
 
-def pack(items: DataFrame, capacities: dict[int, int], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``(con, id, size, gap_of)``: the container number each item is put into, for each capacity number ``con``.
+def _dealt(both: DataFrame, stripes: dict[int, int]) -> DataFrame:
+    """Range-sorted by size, the rows of each range go to the stripes of their capacity in turn, by their rank in the range."""
+    first, plan = 0, []
+    for con, n in sorted(stripes.items()):
+        plan.append((con, first, n))
+        first += n
+    of = F.broadcast(both.sparkSession.createDataFrame(plan, "con long, first long, stripes long"))  # at most MOST_KINDS rows
+    ranged = both.repartitionByRange(first, "con", "size", F.xxhash64("id")).sortWithinPartitions("con", "is_gap", "size", "id")
+    ranked = ranged.select("*", (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.spark_partition_id()).alias("_rank"))
+    dealt = ranked.join(of, "con").select("con", "is_gap", "id", "size", (F.col("first") + F.col("_rank") % F.col("stripes")).alias("stripe"))
+    return dealt.repartitionById(first, F.col("stripe").cast("int"))
+
+
+def pack(items: DataFrame, capacities: dict[int, int], rows_per_range: int = ROWS_PER_RANGE, least_stripes: int = LEAST_STRIPES) -> DataFrame:
+    """``(con, id, size, bin)``: the container number each item is put into, for each capacity number ``con``.
 
     ``items (con, id, size)`` have unique ids in a capacity and ``0 <= size <= capacity``. Items of size 0 fit anywhere.
     """
-    spark = items.sparkSession
-    ws = Workspace(spark, "packing")
-    log: list[DataFrame] = []
-    opened: dict[int, int] = {}
-    offered: dict[int, int] = {}
-    volume = _by_container(items, v=F.sum("size"), n=F.count(F.lit(1)))
-    waiting = {con: r["n"] for con, r in volume.items()}
-    left = sum(waiting.values())
-    todo, gaps, bins = items, None, 0
-    need = {con: max(1, math.ceil(r["v"] / capacities[con])) for con, r in volume.items()}
-    while left:
-        fresh = [spark.range(opened.get(con, 0), opened.get(con, 0) + n).select(F.lit(con).cast("long").alias("con"), "id", F.lit(capacities[con]).cast("long").alias("size")) for con, n in need.items()]
-        for con, n in need.items():
-            opened[con] = opened.get(con, 0) + n
-            offered[con] = offered.get(con, 0) + n
-        bins += sum(need.values())
-        gaps = reduce(DataFrame.unionByName, fresh if gaps is None else [gaps, *fresh])
-        both = todo.select("con", F.lit(0).cast("long").alias("is_gap"), "id", "size").unionByName(gaps.select("con", F.lit(1).cast("long").alias("is_gap"), "id", "size"))
-        ranges = min(MOST_RANGES, parts(left + bins, rows_per_range))
-        ranged = both.repartitionByRange(ranges, "con", "size", F.xxhash64("id")) if ranges > 1 else both.repartition(1)
-        swept = ws.cut(ranged.mapInArrow(_swept, SWEPT))
-        counts = swept.where("rank >= 0").groupBy("con", "part", "is_gap").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows a range and container
-        pieces, matched = match_ranges(counts)
-        used = swept.where("gap_of >= 0").select("con", "id", "size", "gap_of")
-        held = swept.where("is_gap = 1").select("con", "id", "space", "part", "rank")
-        if pieces:
-            plan = F.broadcast(spark.createDataFrame(pieces, "con long, part long, first long, last long, gap_part long, shift long"))
-            over = swept.where("is_gap = 0 AND rank >= 0").join(plan, ["con", "part"]).where("rank BETWEEN first AND last")
-            over = over.select("con", F.col("id").alias("item"), "size", F.col("gap_part").alias("part"), (F.col("rank") + F.col("shift")).alias("rank"))
-            met = ws.cut(over.join(held.where("rank >= 0").withColumnRenamed("id", "gap_of"), ["con", "part", "rank"]).select("con", F.col("item").alias("id"), "size", "gap_of"))
-            used = used.unionByName(met)
-            todo = swept.where("is_gap = 0 AND gap_of < 0").join(met.select("con", "id"), ["con", "id"], "left_anti")
-            held = held.join(met.select("con", F.col("gap_of").alias("id"), F.col("size").alias("_took")), ["con", "id"], "left").withColumn("space", F.col("space") - F.coalesce("_took", F.lit(0)))
-        else:
-            todo = swept.where("is_gap = 0 AND gap_of < 0")
-        log.append(used)
-        todo, seen = ws.cut_measured(todo.select("con", "id", "size"), n=F.count(F.lit(1)))
-        left = seen["n"]
-        if not left:
-            break
-        # A gap smaller than every item that is left is closed. Containers are opened for items larger than any gap, and, once a
-        # round places few items, for the volume beyond what the gaps hold in items of the mean size.
-        state = _by_container(todo, n=F.count(F.lit(1)), v=F.sum("size"), least=F.min("size"), most=F.max("size"))
-        pick = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("con")]
-        mean = {con: max(1.0, r["v"] / r["n"]) for con, r in state.items()}
-        open_ = held.where(F.col("space") >= pick({con: r["least"] for con, r in state.items()})).select("con", "id", F.col("space").alias("size"))
-        gaps, seen = ws.cut_measured(open_, n=F.count(F.lit(1)))
-        bins = seen["n"]
-        free = _by_container(gaps, n=F.count(F.lit(1)), v=F.sum(F.floor(F.col("size") / pick(mean)) * pick(mean)), most=F.max("size"))
-        widest = {con: free[con]["most"] if con in free else -1 for con in state}
-        large = _by_container(todo.where(F.col("size") > pick(widest)), v=F.sum("size")) if any(r["most"] > widest[con] for con, r in state.items()) else {}
-        need = {}
+    ws = Workspace(items.sparkSession, "packing")
+    placed: list[DataFrame] = []
+    todo, gaps, stripes, round_ = items, None, {}, 0
+    state = _by_container(items, n=F.count(F.lit(1)), v=F.sum("size"))
+    few = {con: ENOUGH * r["v"] / capacities[con] for con, r in state.items()}  # of at least so many containers in all
+    while state:
+        offered = {con: 0 for con in state} if gaps is None else {con: r["n"] for con, r in _by_container(gaps, n=F.count(F.lit(1))).items()}
         for con, r in state.items():
-            volume = large[con]["v"] if con in large else 0
-            if waiting[con] - r["n"] < SLOW * min(waiting[con], offered.get(con, 0)):
-                volume = max(volume, r["v"] - (free[con]["v"] if con in free else 0))
-            if volume > 0 or con in large:
-                need[con] = max(1, math.ceil(volume / capacities[con]))
-        waiting, offered = {con: r["n"] for con, r in state.items()}, {con: r["n"] for con, r in free.items()}
-    return reduce(DataFrame.unionByName, log) if log else items.select("con", "id", "size", F.lit(0).cast("long").alias("gap_of"))
+            n = parts(r["n"] + offered.get(con, 0), rows_per_range)
+            stripes[con] = max(least_stripes, n) if gaps is None else max(1, min(n, stripes[con] // 4))
+        now = {con: stripes[con] for con in state}
+        last = {con for con, n in now.items() if n == 1 or n <= few[con]}
+        both = todo.select("con", F.lit(0).cast("long").alias("is_gap"), "id", "size")
+        if gaps is not None:
+            both = both.unionByName(gaps.select("con", F.lit(1).cast("long").alias("is_gap"), "id", "size"))
+        swept = ws.cut(_dealt(both, now).mapInArrow(_sweeper(round_, capacities, last), SWEPT))
+        placed.append(swept.where("is_gap = 0 AND back = 0").select("con", "id", "size", "bin"))
+        round_ += 1
+        todo = swept.where("is_gap = 0 AND back = 1").select("con", "id", "size")
+        state = _by_container(todo, n=F.count(F.lit(1)), least=F.min("size")) if len(last) < len(now) else {}
+        if state:
+            # Only gaps that hold some item that is left are kept open.
+            least = F.broadcast(items.sparkSession.createDataFrame([(con, r["least"]) for con, r in state.items()], "con long, least long"))
+            open_ = swept.where("is_gap = 1 AND back = 0").select("con", "id", "size")
+            gaps = ws.cut(open_.join(least, "con").where("size >= least").select("con", "id", "size"))
+    return reduce(DataFrame.unionByName, placed) if placed else items.select("con", "id", "size", F.lit(0).cast("long").alias("bin"))
 
 
 def fill(sizes: DataFrame, containers: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -225,7 +188,7 @@ def fill(sizes: DataFrame, containers: DataFrame, rows_per_range: int = ROWS_PER
     items = ws.cut(each.select("con", "id", rest.alias("size")))
     packed = pack(items, {i: b["capacity"] for i, b in enumerate(boxes)}, rows_per_range)
     last = packed.join(each.select("con", "id", "container", "doc_id", "full", "capacity"), ["con", "id"]).select(
-        "container", F.col("gap_of").alias("bin"), "doc_id", F.col("full").alias("piece"), (F.col("full") * F.col("capacity")).alias("start_token"), F.col("size").alias("n_tokens")
+        "container", "bin", "doc_id", F.col("full").alias("piece"), (F.col("full") * F.col("capacity")).alias("start_token"), F.col("size").alias("n_tokens")
     )
     # Full pieces need no packing. Their bins are numbered downwards from -1.
     split = prefix_sums(each.where("full > 0").withColumn("_order", F.xxhash64("id")), ["container"], "_order", "id", "full")
