@@ -78,6 +78,22 @@ def test_a_larger_total(spark):
     assert got == {"a": (30, 3), "b": (100, 1)}
 
 
+def test_domains_and_languages_fall_short(spark):
+    """Languages ask for their share of the corpus; what a source lacks is made up in its domain before another gives more."""
+    rows = [(i, "a", "en", 10) for i in range(50)] + [(100 + i, "a", "de", 10) for i in range(5)] + [(200 + i, "b", "de", 10) for i in range(100)] + [(400 + i, "c", "en", 10) for i in range(95)]
+    goals = [("a", 0.5, 1), ("b", 0.25, 1), ("c", 0.25, 1)]
+    even = mixing.mix(sizes(spark, rows), targets(spark, goals))
+    leaves = {(r["source"], r["lang"]): r for r in even.leaves.collect()}
+    # 1,450 tokens are en, 1,050 de: of a's 550, de is asked for 231 and has 50.
+    assert leaves["a", "de"]["asked"] == pytest.approx(550 * 1050 / 2500) and leaves["a", "de"]["budget"] == 50 and leaves["a", "en"]["budget"] == 500
+    assert {r["source"]: r["budget"] for r in even.shares.collect()} == {"a": 550, "b": 275, "c": 275}
+    mix = mixing.mix(sizes(spark, rows), targets(spark, goals), total=1600, domains={"a": "x", "b": "x", "c": "y"})
+    got = {r["source"]: r["tokens"] for r in mix.shares.collect()}
+    assert got == {"a": 550, "b": 650, "c": 400}  # a lacks 250 of its 800: b, of its domain, gives them
+    twice = mixing.mix(sizes(spark, rows), targets(spark, goals), stretch=2.0, domains={"a": "x", "b": "y", "c": "x"})
+    assert {r["source"]: r["budget"] for r in twice.shares.collect()} == {"a": 550, "b": 700, "c": 950}  # x can't give its 1,650
+
+
 def test_empty(spark):
     none = mixing.mix(sizes(spark, [(1, "a", "en", 5)]).limit(0), targets(spark, [("a", 1.0, 1)]))
     assert none.selected.count() == 0 and none.shares.count() == 1

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vertexloom.llm import spans
 
@@ -143,3 +144,29 @@ def test_run_of_exactly_one_span_into_a_longer_stretch(spark):
     prefixes = ["", "q", noise(rng, 60), noise(rng, 150), noise(rng, 350)]
     docs = [(i, p + "\n" + "_" * 199 + "tail" + noise(rng, 120)) for i, p in enumerate(prefixes)] + [(10 + i, p[::-1] + "\n" + "_" * 400) for i, p in enumerate(prefixes)]
     check(spark, docs, 200, 100)
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_hot_digests_are_spread_and_streamed(spark, monkeypatch, batch):
+    """A passage in most texts, its rows marked in every block, and groups that span many batches."""
+    monkeypatch.setattr(spans, "HOT", 5)
+    monkeypatch.setattr(spans, "BLOCK", 1024)
+    monkeypatch.setattr(spans, "GROUP", 4)
+    rng = random.Random(6)
+    passage, other = noise(rng, 33), noise(rng, 26)
+    docs = [(i, noise(rng, rng.randrange(60)) + (passage if i % 3 else other) + noise(rng, rng.randrange(40))) for i in range(60)]
+    docs += [(100 + i, docs[i][1]) for i in range(4)] + [(200, "_" * 150), (201, "q" + "_" * 90)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        check(spark, docs, 20, 10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_whose_hashes_clash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(spans, "_class", lambda text: F.pmod(F.xxhash64(text), F.lit(3)))
+    rng = random.Random(7)
+    passage = noise(rng, 30)
+    docs = [(i, noise(rng, 20) + (passage if i < 4 else "") + noise(rng, 20)) for i in range(12)] + [(50, noise(rng, 5))]
+    docs += [(20, docs[0][1]), (21, docs[7][1])]
+    check(spark, docs, 20, 10)

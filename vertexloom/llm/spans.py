@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexloom.functions.arrow import gather, slices
 from vertexloom.plans.lineage import Workspace
+from vertexloom.plans.sizing import parts
 
 SPAN, UNIT = 200, 100
 #: Characters hashed at once; a position in them has to fit the low bits of a hash.
@@ -31,6 +32,12 @@ REMEMBERED = 1 << 20
 GROUP = 1024
 #: Inner occurrences of periodic stretches are compared with the others in blocks of this many.
 MIDDLES = 8192
+#: A digest of so many edges in one block of texts is one of a large group: its rows in that block are spread over SALTS tasks.
+HOT, SALTS = 64, 1024
+#: Occurrences of digests, and excerpts, in a partition.
+ROWS_PER_PART, EXCERPTS_PER_PART = 1_000_000, 100_000
+#: So few classes whose hashes clash are told apart by a broadcast.
+FEW_CLASHES = 100_000
 # Fixed odd constants of the hash.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -151,6 +158,22 @@ def fingerprints(texts: list[np.ndarray], span: int, unit: int, powers: tuple[np
     return doc, at - starts[doc], h[at].view(np.int64), edge
 
 
+def _split_hot(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Mark the rows of digests that HOT edges of several texts in this block have (``hot`` 2), and add a row for each such digest
+    (``hot`` 1) that tells the task which gets its other rows."""
+    order = np.argsort(rows["digest"], kind="stable")
+    start, size = _runs(rows["digest"][order])
+    edges = np.add.reduceat((rows["edge"][order] == 1).astype(np.int64), start)
+    low, high = np.minimum.reduceat(rows["cls"][order], start), np.maximum.reduceat(rows["cls"][order], start)
+    hot = (edges >= HOT) & (low != high)
+    if not hot.any():
+        return rows
+    mark = np.zeros(len(order), np.int8)
+    mark[order] = np.repeat(hot, size) * np.int8(2)
+    first = order[start[hot]]
+    return {k: np.concatenate([v if k != "hot" else mark, v[first] if k != "hot" else np.ones(len(first), np.int8)]) for k, v in rows.items()}
+
+
 def _fingerprinter(span: int, unit: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(BLOCK)
@@ -162,7 +185,8 @@ def _fingerprinter(span: int, unit: int):
         def emit():
             doc, pos, digest, edge = fingerprints(texts, span, unit, powers)
             key, base = np.array([k for k, _ in keys], np.int64), np.array([b for _, b in keys], np.int64)
-            return slices({"digest": digest, "cls": key[doc], "pos": (pos + base[doc]).astype(np.int32), "edge": edge})
+            rows = {"digest": digest, "cls": key[doc], "pos": (pos + base[doc]).astype(np.int32), "edge": edge, "hot": np.zeros(len(digest), np.int8)}
+            return slices(_split_hot(rows) if len(digest) else rows)
 
         for batch in batches:
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -193,22 +217,56 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(sorted_keys)))
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's occurrences, those whose digest more than one class holds; ``cells``: see ``shared_runs``."""
-    c = gather(batches)
-    if not c or not len(c["digest"]):
-        return
-    order = np.lexsort((-c["edge"], c["pos"], c["cls"], c["digest"]))
-    digest, cls, pos, edge = (c[n][order] for n in ("digest", "cls", "pos", "edge"))
-    fresh = np.concatenate([[True], (digest[1:] != digest[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])])  # copies from other tasks, and where pieces overlap: an edge in one is one
-    digest, cls, pos, edge = digest[fresh], cls[fresh], pos[fresh], edge[fresh]
+def _judged(c: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+    """Of whole groups of a digest, sorted, the occurrences of those that more than one class has; ``cells``: see ``shared_runs``."""
+    digest, cls, pos, edge, hot = (c[n] for n in ("digest", "cls", "pos", "edge", "hot"))
+    row = hot != 1
     start, size = _runs(digest)
-    several = np.repeat(cls[start] != cls[start + size - 1], size)
-    edges = np.add.reduceat(edge.astype(np.int64), start)
-    cells = np.where(edges > GROUP, -1, -(-(size - edges) // MIDDLES))
-    if several.any():
-        rows = {"digest": digest, "cls": cls, "pos": pos, "edge": edge, "cells": np.repeat(cells, size).astype(np.int32)}
-        yield from slices({k: v[several] for k, v in rows.items()})
+    known = np.maximum.reduceat(hot, start) > 0  # in several classes, and large
+    low, high = np.minimum.reduceat(cls, start), np.maximum.reduceat(cls, start)
+    edges = np.add.reduceat(((edge == 1) & row).astype(np.int64), start)
+    inner = np.add.reduceat(((edge != 1) & row).astype(np.int64), start)
+    cells = np.where(known | (edges > GROUP), -1, -(-inner // MIDDLES))
+    keep = np.repeat(known | (low != high), size) & row
+    if not keep.any():
+        return None
+    rows = {"digest": digest, "cls": cls, "pos": pos, "edge": edge, "cells": np.repeat(cells, size).astype(np.int32)}
+    return {k: v[keep] for k, v in rows.items()}
+
+
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition sorted by digest, class, position and edges first, group by group. A group is held until it is known to be a large
+    one of several classes, and then passed on as it comes: what a task holds is bounded by GROUP texts."""
+    names = ("digest", "cls", "pos", "edge", "hot")
+    held: dict[str, np.ndarray] | None = None
+    large: int | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = {n: batch.column(n).to_numpy() for n in names}
+        if held is not None:
+            c = {n: np.concatenate([held[n], c[n]]) for n in names}
+        same = (c["digest"][1:] == c["digest"][:-1]) & (c["cls"][1:] == c["cls"][:-1]) & (c["pos"][1:] == c["pos"][:-1]) & ((c["hot"][1:] == 1) == (c["hot"][:-1] == 1))
+        c = {n: v[np.concatenate([[True], ~same])] for n, v in c.items()}  # copies from other tasks, and where pieces overlap: an edge in one is one
+        if large is not None:
+            on = c["digest"] == large
+            if on.any():
+                yield from slices({n: c[n][on & (c["hot"] != 1)] for n in names[:4]} | {"cells": np.full(int((on & (c["hot"] != 1)).sum()), -1, np.int32)})
+            c = {n: v[~on] for n, v in c.items()}
+            if not len(c["digest"]):
+                held = None
+                continue
+            large = None
+        cut = int(np.searchsorted(c["digest"], c["digest"][-1], side="left"))
+        if cut and (rows := _judged({n: v[:cut] for n, v in c.items()})):
+            yield from slices(rows)
+        held = {n: v[cut:] for n, v in c.items()}
+        rows = _judged(held)
+        if rows and rows["cells"][0] < 0:
+            yield from slices(rows)
+            large, held = int(held["digest"][0]), None
+    if held is not None and (rows := _judged(held)):
+        yield from slices(rows)
 
 
 def _excerpts(span: int, unit: int):
@@ -369,6 +427,15 @@ def _outermost(span: int):
     return run
 
 
+def _class(text: str) -> Column:
+    return F.xxhash64(text)
+
+
+def _second(text: str) -> Column:
+    """Another hash of the same text, independent of its class."""
+    return F.xxhash64(F.lit(1), text)
+
+
 @dataclass(frozen=True)
 class Shared:
     """``members (doc_id, cls, n_chars)`` of all texts of at least ``span`` characters; ``matches (cls_a, start_a, cls_b, start_b,
@@ -382,18 +449,31 @@ def shared_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     """Find all runs of at least ``span`` code points that two different texts have in common, verbatim.
 
     Rows with a NULL id or text, and texts shorter than ``span``, share nothing. Rows that repeat an id with the same text count
-    once; with another text, the id stands for both texts. A text's class is its 64-bit hash. Other columns are ignored.
+    once; with another text, the id stands for both texts. A text's class is its 64-bit hash, unless that is another text's too by a
+    second one: then it is the second. Other columns are ignored.
     """
     if not 0 < unit <= span:
         raise ValueError("unit must lie between 1 and span")
-    ws = Workspace(docs.sparkSession, "spans")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    ws = Workspace(spark, "spans")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= span))
-    rows = rows.withColumn("cls", F.xxhash64("text"))
-    members = ws.cut(rows.select("doc_id", "cls", F.length("text").alias("n_chars")).distinct())
-    occurrences = rows.select("cls", "text").mapInArrow(_fingerprinter(span, unit), "digest long, cls long, pos int, edge byte")
+    rows = rows.withColumn("cls", _class("text"))
+    members, seen = ws.cut_measured(rows.select("doc_id", "cls", _second("text").alias("second"), F.length("text").alias("n_chars")).distinct(), chars=F.sum("n_chars"))
+    clashes, clashing = ws.cut_measured(members.groupBy("cls").agg(F.min("second").alias("_lo"), F.max("second").alias("_hi")).where("_lo <> _hi").select(F.col("cls").alias("_clash")), n=F.count(F.lit(1)))
+    if clashing["n"]:
+        apart = F.broadcast(clashes) if clashing["n"] <= FEW_CLASHES else clashes
+        other = lambda df, second: df.join(apart, F.col("cls") == F.col("_clash"), "left").withColumn("cls", F.when(F.col("_clash").isNotNull(), second).otherwise(F.col("cls"))).drop("_clash")
+        rows, members = other(rows, _second("text")), ws.cut(other(members, F.col("second")))
+    members = members.select("doc_id", "cls", "n_chars")
+    # Two windows of a hundred are kept on average; the partitions follow the texts, however many the session's exchanges have.
+    n_parts = max(least, parts(2 * (seen["chars"] or 0) // (span - unit + 1), ROWS_PER_PART))
+    occurrences = rows.select("cls", "text").mapInArrow(_fingerprinter(span, unit), "digest long, cls long, pos int, edge byte, hot byte")
+    grouped = occurrences.repartition(n_parts, "digest", F.when(F.col("hot") == 2, F.pmod("cls", F.lit(SALTS))).otherwise(F.lit(-1)))
+    grouped = grouped.sortWithinPartitions("digest", "cls", "pos", F.desc("edge"))
     # cells: -1 for a large group; else the number of blocks of inner occurrences, which are cells 1 and up, and 0 that of the edges.
-    shared, seen = ws.cut_measured(occurrences.repartition(parts, "digest").mapInArrow(_shared, "digest long, cls long, pos int, edge byte, cells int"), large=F.count(F.when(F.col("cells") < 0, 1)))
+    shared, seen = ws.cut_measured(grouped.mapInArrow(_shared, "digest long, cls long, pos int, edge byte, cells int"), large=F.count(F.when(F.col("cells") < 0, 1)), n=F.count(F.lit(1)))
+    n_parts = max(least, parts(seen["n"], EXCERPTS_PER_PART))
     places = shared.groupBy("cls").agg(F.collect_list(F.struct("digest", "pos", "edge", "cells")).alias("places"))
     reps = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = places.join(reps, "cls")
@@ -403,10 +483,10 @@ def shared_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     # An edge row meets the other edges in cell 0 and the inner rows in theirs; no two inner rows meet.
     cell = F.when(F.col("edge") == 1, F.sequence(F.lit(0), "cells")).otherwise(F.array((F.lit(1) + F.pmod(F.xxhash64("cls", "pos"), "cells")).cast("int")))
     cells = excerpts.where("cells >= 0").select("digest", F.explode(cell).alias("cell"), "cls", "pos", "edge", "lead", "excerpt")
-    compared = cells.repartition(parts, "digest", "cell").mapInArrow(_compare(span, unit), kinds)
+    compared = cells.repartition(n_parts, "digest", "cell").mapInArrow(_compare(span, unit), kinds)
     if seen["large"]:
         windows = excerpts.where("cells < 0").mapInArrow(_windows(span, unit), "digest long, cls long, pos long, edge long, left long, hash long, before long, after long")
-        compared = compared.unionByName(windows.repartition(parts, "digest", "left", "hash").mapInArrow(_outermost(span), kinds))
+        compared = compared.unionByName(windows.repartition(n_parts, "digest", "left", "hash").mapInArrow(_outermost(span), kinds))
     matches = ws.cut(compared)
     ws.drop(shared)
     return Shared(members, matches)
