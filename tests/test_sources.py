@@ -1,8 +1,10 @@
+import os
 import pytest
 
 from vertexloom.operators import algorithms as A
 from vertexloom.plans import cli
-from vertexloom.sources import store, text
+from vertexloom.operators.graph import Graph
+from vertexloom.sources import binary, store, text
 from vertexloom.streaming import edges as stream
 
 EDGES = "0 1 2,0 2 5,1 2 1,2 0 4,2 3 1,3 4 2,3 4 7,4 3 3,4 4 1,6 7 2,7 8 2,8 6 2,8 9 1".split(",")
@@ -117,3 +119,70 @@ def test_binary_graph(spark, tmp_path, monkeypatch, weighted):
     assert rows(g) == ([(a, b, float(w)) for a, b, w in ends] if weighted else [(a, b) for a, b, _ in ends])
     with pytest.raises(FileNotFoundError):
         binary.binary_graph(spark, str(tmp_path / "h"), 9, 13, weighted)
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_binary_round_trip_in_pieces(spark, tmp_path, monkeypatch, weighted):
+    """Vertices of many pieces, some without edges, a hot one; by source and by destination."""
+    monkeypatch.setattr(binary, "VERTICES_PER_TASK", 4)
+    monkeypatch.setattr(binary, "EDGES_PER_READ", 3)
+    edges = [(0, 9, 1.5), (0, 9, 1.5), (1, 0, 2.0), (13, 9, 0.0), (13, 13, 4.0)] + [(9, i % 15, float(i)) for i in range(30)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double").repartition(3)
+    g = Graph.from_edges(df, weight="weight" if weighted else None, max_id=21)
+    prefix = str(tmp_path / "g")
+    binary.save_binary(g, prefix, in_edges=True)
+    back = binary.binary_graph(spark, prefix, 21, len(edges), weighted, with_in_edges=True)
+    plain = sorted((a, b) for a, b, _ in edges)
+    assert sorted(tuple(r) for r in back.edges.collect()) == (sorted(edges) if weighted else plain)
+    assert sorted((r["src"], r["dst"]) for r in back.by_dst.collect()) == plain
+    assert os.path.getsize(f"{prefix}.index") == os.path.getsize(f"{prefix}.in-index") == binary.PADDING * 8
+    heads = np.fromfile(f"{prefix}.index", "<u8", 22)
+    assert heads.tolist() == [r["offset"] for r in g.csr_index().orderBy("id").collect()]
+    assert [tuple(r) for r in back.in_degrees().orderBy("id").collect()] == [tuple(r) for r in g.in_degrees().orderBy("id").collect()]
+
+
+def test_stored_in_edges_are_read(spark, tmp_path):
+    g = Graph.from_edges(spark.createDataFrame([(0, 1), (2, 1), (1, 1), (3, 0)], "src long, dst long"))
+    store.save_graph(g, str(tmp_path / "g"), in_edges=True)
+    back = store.load_graph(spark, str(tmp_path / "g"))
+    found = back.in_edges(spark.createDataFrame([(1,)], "id long"))
+    assert sorted((r["src"], r["dst"]) for r in found.collect()) == [(0, 1), (1, 1), (2, 1)]
+    assert all(f"{tmp_path}/g/in_edges" in name for name in found.inputFiles())
+    assert back.without_self_loops().transposed().edges.count() == 3
+    assert sorted(map(tuple, store.load_index(spark, str(tmp_path / "g"), "dst").collect())) == [(0, 1), (1, 2), (2, 0), (3, 0)]
+
+
+def test_rejected_lines_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('1 2\n# no line\nx 2\n1 2 3\n"1 2\n\n')
+    query = stream.read_rejects(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("rejects").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("rejects").collect()) == [("", "column_count"), ('"1 2', "quoting"), ("1 2 3", "column_count"), ("x 2", "src_vert")]
+
+
+def test_steps_go_at_the_end_of_a_scope(spark):
+    from vertexloom.operators import hierarchy
+    from vertexloom.plans import lineage
+
+    before, tables = set(lineage._open), spark.catalog.listTables()
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    with lineage.scope():
+        links = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, parent long")
+        assert hierarchy.solve(links).count() == 3
+        roots = [r for r in lineage._open if r not in before]
+        assert roots and all(os.path.exists(r.removeprefix("file:").replace("///", "/")) for r in roots)
+    assert set(lineage._open) == before and not any(os.path.exists(r.removeprefix("file:").replace("///", "/")) for r in roots)
+    assert spark.catalog.listTables() == tables and spark.conf.get("spark.sql.shuffle.partitions") == width
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from vertexloom.plans import lineage
+
+    nowhere = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: nowhere, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(SimpleNamespace(conf=nowhere, sparkContext=context))
+    context.master = "local[2]"
+    assert lineage.shared_dir(SimpleNamespace(conf=nowhere, sparkContext=context)).startswith("file://")

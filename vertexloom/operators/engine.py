@@ -10,7 +10,7 @@ over all tasks, and what these sources send is broadcast to them, so that no buc
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -78,7 +78,7 @@ def arcs(graph: Graph, program: VertexProgram) -> DataFrame:
     """``(src, dst[, weight])`` in the direction messages take."""
     g = graph.without_self_loops() if program.skip_self_loops else graph
     if not program.needs_weight and g.weighted:
-        g = Graph(g.edges.select("src", "dst"), g.max_id, False, g.with_in_edges)
+        g = replace(g, edges=g.edges.select("src", "dst"), weighted=False)
     if program.direction == "both":
         pair = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), *([F.col("weight")] if g.weighted else []))
         return g.edges.select(F.inline(F.array(pair("src", "dst"), pair("dst", "src"))))

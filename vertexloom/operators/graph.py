@@ -16,13 +16,17 @@ PIECES = 4096
 
 @dataclass(frozen=True)
 class Graph:
-    """``edges (src, dst[, weight])``, repeated edges and self-loops kept; ``max_id`` is -1 for a graph without vertices."""
+    """``edges (src, dst[, weight])``, repeated edges and self-loops kept; ``max_id`` is -1 for a graph without vertices.
+
+    ``by_dst (dst, src)``, if there is one, holds the same edges in order of their destination: what looks for in-edges reads it.
+    """
 
     edges: DataFrame
     max_id: int
     weighted: bool
     with_in_edges: bool = True
     num_edges: int | None = None
+    by_dst: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -49,15 +53,17 @@ class Graph:
         return self.spark.range(self.max_id + 1)
 
     def without_self_loops(self) -> Graph:
-        return replace(self, edges=self.edges.where("src <> dst"))
+        return replace(self, edges=self.edges.where("src <> dst"), by_dst=None if self.by_dst is None else self.by_dst.where("src <> dst"))
 
     def transposed(self) -> Graph:
         """Every edge turned round; weights stay with their edges."""
         rest = ["weight"] if self.weighted else []
-        return replace(self, edges=self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
+        rows = self.edges if rest or self.by_dst is None else self.by_dst
+        return replace(self, edges=rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest), by_dst=None)
 
     def _degrees(self, key: str, name: str) -> DataFrame:
-        n = self.edges.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        rows = self.by_dst if key == "dst" and self.by_dst is not None else self.edges
+        n = rows.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
         return self.vertices().join(n, F.col("id") == F.col("_k"), "left").select("id", F.coalesce("_n", F.lit(0)).alias(name))
 
     def out_degrees(self) -> DataFrame:
@@ -115,5 +121,6 @@ class Graph:
         return self.edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
 
     def in_edges(self, ids: DataFrame) -> DataFrame:
-        """The edges that enter the vertices ``ids (id)``."""
-        return self.edges.join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+        """The edges that enter the vertices ``ids (id)``; of a graph stored with in-edges, only files and pages that may hold them
+        are read where Spark knows the ids, and weights aren't."""
+        return (self.edges if self.by_dst is None else self.by_dst).join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.operators import algorithms, diagnostics, engine, hierarchy, salted, strict_load
-from vertexloom.sources import tables, text
+from vertexloom.operators.graph import Graph
+from vertexloom.plans.lineage import Workspace
+from vertexloom.sources import binary, store, tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,11 +29,34 @@ def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_chains(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.chains(p1_hierarchy(spark, folder))
+    return hierarchy.chains(p1_hierarchy(spark, folder)).withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ">"))
 
 
 def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.path_hops(p1_hierarchy(spark, folder))
+    hop = lambda h: F.concat_ws(":", h["chain"].cast("string"), h["upto"].cast("string"))
+    return hierarchy.path_hops(p1_hierarchy(spark, folder)).withColumn("hops", F.array_join(F.transform("hops", hop), ">"))
+
+
+def _asked(nodes: DataFrame) -> DataFrame:
+    """The stated query set: all ids divisible by 50, against all rows."""
+    return nodes.where("id % 50 = 0").select("id")
+
+
+def p1_full_paths(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = p1_hierarchy(spark, folder)
+    paths = hierarchy.full_paths(nodes, _asked(nodes))
+    return paths.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = p1_hierarchy(spark, folder)
+    return hierarchy.descendants(nodes, _asked(nodes))
+
+
+def hierarchy_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """``p1_found`` by many levels of contraction: partitions of 2,000 nodes, and no quotient of more than 200 in one task."""
+    links = hierarchy.current_links(table(spark, folder, "sssp_vert_attr"))
+    return hierarchy.solve(links, rows_per_part=2000, base=200).select("id", "root", "depth")
 
 
 def p1_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,6 +290,89 @@ def scc_supersteps(spark: SparkSession, folder: str) -> DataFrame:
     return algorithms.scc(tables.part_graph(spark, folder), in_task=0)
 
 
+def spmv_x(spark: SparkSession, folder: str) -> DataFrame:
+    """With a vector for two thirds of the ids; the others' values are 1."""
+    g = tables.weighted_slot_graph(spark, folder)
+    return algorithms.spmv(g, g.vertices().where("id % 3 > 0").select("id", (F.col("id") % 7).cast("double").alias("value")))
+
+
+def out_edges(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.slot_graph(spark, folder)
+    return g.out_edges(g.vertices().where("id % 50 = 0"))
+
+
+def in_edges(spark: SparkSession, folder: str) -> DataFrame:
+    g = tables.slot_graph(spark, folder)
+    return g.in_edges(g.vertices().where("id % 50 = 0"))
+
+
+def user_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.user_graph(spark, folder).degrees()
+
+
+def user_scc(spark: SparkSession, folder: str) -> DataFrame:
+    return algorithms.scc(tables.user_graph(spark, folder), in_task=0)
+
+
+def _stored(spark: SparkSession, folder: str) -> str:
+    """The whole table of edges as a stored graph with in-edges."""
+    path = f"{Workspace(spark, 'stored').root}/graph"
+    store.save_graph(tables.weighted_slot_graph(spark, folder), path, in_edges=True)
+    return path
+
+
+def stored_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return store.load_graph(spark, _stored(spark, folder)).edges
+
+
+def stored_in_edges(spark: SparkSession, folder: str) -> DataFrame:
+    g = store.load_graph(spark, _stored(spark, folder))
+    return g.in_edges(g.vertices()).select("src", "dst")
+
+
+def stored_in_index(spark: SparkSession, folder: str) -> DataFrame:
+    return store.load_index(spark, _stored(spark, folder), "dst")
+
+
+def stored_desc(spark: SparkSession, folder: str) -> DataFrame:
+    row = store.read_description(spark, _stored(spark, folder))
+    return spark.createDataFrame([tuple(row[k] for k in store.KEYS)], ", ".join(f"{k} long" for k in store.KEYS))
+
+
+def text_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of edges, written as sorted text and read as an edge list."""
+    path = f"{Workspace(spark, 'text').root}/edges"
+    store.save_sorted_text(tables.slot_graph(spark, folder), path)
+    return text.edge_list(spark, path).edges
+
+
+def adjacency_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of edges, written and read as an adjacency list."""
+    path = f"{Workspace(spark, 'text').root}/rows"
+    store.save_adjacency_text(tables.slot_graph(spark, folder), path)
+    return text.adjacency_list(spark, path).edges
+
+
+def _binary(spark: SparkSession, folder: str) -> Graph:
+    g = tables.part_graph(spark, folder, 0)  # all lines
+    root = Workspace(spark, "binary").root.removeprefix("file:")
+    prefix = f"/{root.lstrip('/')}/graph"
+    os.makedirs(os.path.dirname(prefix), exist_ok=True)
+    binary.save_binary(g, prefix, in_edges=True)
+    return binary.binary_graph(spark, prefix, g.max_id, g.num_edges, True, with_in_edges=True)
+
+
+def binary_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _binary(spark, folder).edges
+
+
+def binary_in_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _binary(spark, folder).by_dst.select("src", "dst")
+
+
+MORE = (
+    hierarchy_levels, spmv_x, out_edges, in_edges, user_degrees, user_scc, stored_edges, stored_in_edges, stored_in_index, stored_desc, text_edges, adjacency_edges, binary_edges, binary_in_edges,
+)
 GRAPH = (
     graph_desc, out_degree, in_degree, csr_index, csc_index, self_loops, spmv, pagerank, pagerank_trade, bfs, sssp, sssp_tree, wcc, wcc_count, scc, scc_sparse,
     frontier_expand, top100, update_skew, random_weights, slot_degrees, slot_pagerank, slot_wcc, slot_bfs, slot_scc,
@@ -272,7 +381,7 @@ GRAPH = (
     slot_pagerank10, slot_pagerank10_supersteps, trade_pagerank10,
     bfs_supersteps, sssp_supersteps, pagerank_supersteps, wcc_supersteps, scc_supersteps,
 )
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_paths, p1_sizes, p4_found, p4_endpoint_stats, p5_found, p5_edges, *GRAPH)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_chains, p1_paths, p1_sizes, p1_full_paths, p1_descendants, p4_found, p4_endpoint_stats, p5_found, p5_edges, *GRAPH, *MORE)}
 
 _P1_TREE = """
 WITH RECURSIVE cur AS (
@@ -413,3 +522,85 @@ SELECT v.id, coalesce(t.d, 'Infinity'::DOUBLE) AS value FROM v LEFT JOIN t ON t.
     "slot_update_skew": _SLOTS + SQL["update_skew"].removeprefix(_part(46)),
 }
 SQL |= {f"slot_{name}_supersteps": SQL[f"slot_{name}"] for name in ("bfs", "sssp", "wcc", "pagerank10")}
+
+# The whole trees: sizes by all pairs of a node and one above it, places by a walk from the roots.
+_P1_LOOPS = """,
+walk AS (SELECT id AS start, p AS stop FROM lost
+  UNION SELECT walk.start, lost.p FROM walk JOIN lost ON walk.stop = lost.id),
+on_loop AS (SELECT start AS id FROM walk WHERE start = stop),
+behind AS (SELECT w.start AS id, min(w.stop) AS root FROM walk w JOIN on_loop o ON w.stop = o.id GROUP BY w.start)"""
+_P1_PLACES = _P1_TREE + _P1_LOOPS + """,
+up AS (SELECT id AS low, id AS anc FROM down UNION ALL SELECT up.low, par.p FROM up JOIN par ON up.anc = par.id WHERE par.p IS NOT NULL),
+n AS (SELECT anc AS id, count(*) AS size FROM up GROUP BY anc),
+kids AS (SELECT par.id, par.p, n.size, ((par.id % 2147483648) * 2654435761) % 4294967296 AS o FROM par JOIN n USING (id) WHERE par.p IS NOT NULL),
+placed AS (SELECT id, p, coalesce(sum(size) OVER (PARTITION BY p ORDER BY o, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+  row_number() OVER (PARTITION BY p ORDER BY size DESC, id) = 1 AS heavy FROM kids),
+spot(id, pre, chain, pos) AS (SELECT id, 1::BIGINT, id, 0::BIGINT FROM down WHERE depth = 0
+  UNION ALL SELECT k.id, spot.pre + 1 + k.before, CASE WHEN heavy THEN spot.chain ELSE k.id END, CASE WHEN heavy THEN spot.pos + 1 ELSE 0 END FROM spot JOIN placed k ON k.p = spot.id),
+nodes AS (SELECT d.id, par.p AS parent, d.root, d.depth, n.size, spot.pre, spot.chain, spot.pos FROM down d JOIN par USING (id) JOIN n USING (id) JOIN spot USING (id))"""
+_P1_UP = _P1_TREE + """,
+asked AS (SELECT id FROM down WHERE id % 50 = 0),
+up(id, node, hop) AS (SELECT id, id, 0 FROM asked UNION ALL SELECT up.id, par.p, hop + 1 FROM up JOIN par ON up.node = par.id WHERE par.p IS NOT NULL)"""
+SQL |= {
+    "p1_hierarchy": _P1_PLACES + """
+SELECT id, parent, root, depth, size, pre, chain, pos FROM nodes
+UNION ALL SELECT b.id, par.p, b.root, -1::BIGINT, NULL, NULL, NULL, NULL FROM behind b JOIN par USING (id)""",
+    "p1_chains": _P1_PLACES + """
+SELECT chain, pos // 4096 AS block_no, max(CASE WHEN id = chain THEN parent END) AS attach, string_agg(id, '>' ORDER BY pos) AS members FROM nodes GROUP BY chain, pos // 4096""",
+    "p1_paths": _P1_PLACES + """,
+hop(chain, before) AS (SELECT id, '' FROM nodes WHERE pos = 0 AND parent IS NULL
+  UNION ALL SELECT t.id, hop.before || p.chain || ':' || p.pos || '>' FROM hop JOIN nodes p ON p.chain = hop.chain JOIN nodes t ON t.parent = p.id AND t.pos = 0)
+SELECT id, root, depth, before || chain || ':' || pos AS hops FROM nodes JOIN hop USING (chain)""",
+    "p1_full_paths": _P1_UP + " SELECT id, string_agg(node, '>' ORDER BY hop DESC) AS path FROM up GROUP BY id",
+    "p1_descendants": _P1_TREE + """,
+below(id, below) AS (SELECT p, id FROM par JOIN down USING (id) WHERE p IS NOT NULL AND p % 50 = 0
+  UNION ALL SELECT below.id, par.id FROM below JOIN par ON par.p = below.below) SELECT id, below FROM below""",
+    "hierarchy_levels": SQL["p1_found"],
+    "spmv_x": _WEIGHTS + _V + """, x AS (SELECT id, CASE WHEN id % 3 > 0 THEN (id % 7)::DOUBLE ELSE 1 END AS x FROM v)
+SELECT x.id, x.x AS origin_value, coalesce(s.s, 0)::DOUBLE AS spmv_value FROM x LEFT JOIN (SELECT dst, sum(e.weight * x.x) AS s FROM e JOIN x ON x.id = e.src GROUP BY dst) s ON s.dst = x.id""",
+    "out_edges": _SLOTS + " SELECT src, dst FROM e WHERE src % 50 = 0",
+    "in_edges": _SLOTS + " SELECT src, dst FROM e WHERE dst % 50 = 0",
+    "stored_edges": _WEIGHTS + " SELECT src, dst, weight FROM e",
+    "stored_in_edges": _SLOTS + " SELECT src, dst FROM e",
+    "stored_in_index": _SLOTS + _INDEX.format(key="dst"),
+    "stored_desc": _SLOTS + _V + """ SELECT min(least(src, dst)) AS min_vertex_id, max(greatest(src, dst)) AS max_vertex_id, count(*) AS num_of_edges,
+  (SELECT max(d) FROM deg) AS max_out_edges, 1::BIGINT AS edge_type, 1::BIGINT AS with_in_edge FROM e""",
+    "text_edges": _SLOTS + " SELECT src, dst FROM e",
+    "adjacency_edges": _SLOTS + " SELECT src, dst FROM e",
+    "binary_edges": _part(0) + " SELECT src, dst, weight FROM e",
+    "binary_in_edges": _part(0) + " SELECT src, dst FROM e",
+}
+_USERS = """WITH RECURSIVE e AS (SELECT user_id AS src, next AS dst FROM (SELECT *, lead(user_id) OVER (ORDER BY ts, event_id) AS next FROM events) WHERE event_type = 'error' AND next IS NOT NULL)"""
+SQL |= {"user_degrees": _USERS + SQL["slot_degrees"].removeprefix(_SLOTS), "user_scc": _USERS + _SCC}
+
+# Distances with predecessors, superstep by superstep: of equal distances that arrive together the smallest sender, and none that arrives later.
+_TREE = _V + """,
+t(i, id, d, p, active) AS (SELECT 0, src, 0::DOUBLE, NULL::BIGINT, true FROM root
+  UNION ALL SELECT i, id, CASE WHEN ok THEN m.v ELSE d END, CASE WHEN ok THEN m.p ELSE p END, ok FROM (SELECT *, m IS NOT NULL AND m.v < d AND (d = 'Infinity'::DOUBLE OR abs(m.v - d) >= 1e-3::DOUBLE) AS ok FROM (
+    SELECT i + 1 AS i, id, coalesce(min(d), 'Infinity'::DOUBLE) AS d, max(p) AS p, min(m) AS m FROM (SELECT i, id, d, p, NULL::STRUCT(v DOUBLE, p BIGINT) AS m FROM t
+      UNION ALL SELECT t.i, e.dst, NULL, NULL, {'v': t.d + e.weight, 'p': t.id} FROM t JOIN e ON e.src = t.id AND e.src <> e.dst WHERE t.active AND e.weight IS NOT NULL) WHERE i < 60 GROUP BY i, id)))
+SELECT v.id, t.p AS predecessor, coalesce(t.d, 'Infinity'::DOUBLE) AS value FROM v LEFT JOIN t ON t.id = v.id AND t.i = 60"""
+# The component of the busiest source by reaching it and being reached; what is left, without vertices that nothing enters or leaves, by closure.
+_WHOLE_SCC = _V + """,
+ahead(id) AS (SELECT src FROM root UNION SELECT e.dst FROM ahead JOIN e ON e.src = ahead.id),
+before(id) AS (SELECT src FROM root UNION SELECT e.src FROM before JOIN e ON e.dst = before.id),
+core AS (SELECT id FROM ahead SEMI JOIN before USING (id)),
+r AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst AND src NOT IN (SELECT id FROM core) AND dst NOT IN (SELECT id FROM core)),
+q AS (SELECT * FROM r WHERE src IN (SELECT dst FROM r) AND dst IN (SELECT src FROM r)),
+cl(a, b) AS (SELECT src, dst FROM q UNION SELECT cl.a, q.dst FROM cl JOIN q ON q.src = cl.b),
+s AS (SELECT id, (SELECT min(id) FROM core) AS c FROM core UNION ALL SELECT x.a, min(x.b) FROM cl x JOIN cl y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT v.id, least(v.id, coalesce(s.c, v.id)) AS component_root FROM v LEFT JOIN s USING (id)"""
+
+
+def _drawn(edges: str, seed: int) -> str:
+    """Weights drawn as ``text.hashed_weight`` does: for each end, its value and 1 in turn."""
+    h = str(seed)
+    for c in ("src", "1", "dst", "1"):
+        h = f"(({h}) * 48271 + {c} % 2147483647) % 2147483647"
+    return f"{edges} SELECT src, dst, ((({h}) * 48271) % 2147483647) % 10000 / 1000.0::DOUBLE AS weight FROM (SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM e)"
+
+
+SQL |= {
+    "sssp_tree": _part(46) + _TREE, "slot_sssp_tree": _WEIGHTS + _TREE, "slot_scc": _SLOTS + _WHOLE_SCC, "slot_scc_supersteps": _SLOTS + _WHOLE_SCC,
+    "random_weights": _drawn(_TRADE, 1), "slot_random_weights": _drawn(_SLOTS, 1),
+}

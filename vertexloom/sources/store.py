@@ -79,9 +79,21 @@ def read_description(spark: SparkSession, folder: str) -> dict[str, int]:
 
 
 def load_graph(spark: SparkSession, folder: str) -> Graph:
-    """A saved graph, without a pass over its edges: the description has the sizes."""
+    """A saved graph, without a pass over its edges: the description has the sizes. Stored in-edges are used by what needs them."""
     d = read_description(spark, folder)
-    return Graph(spark.read.parquet(f"{folder}/edges"), d["max_vertex_id"], d["edge_type"] == 1, d["with_in_edge"] == 1, d["num_of_edges"])
+    by_dst = spark.read.parquet(f"{folder}/in_edges") if d["with_in_edge"] == 1 else None
+    return Graph(spark.read.parquet(f"{folder}/edges"), d["max_vertex_id"], d["edge_type"] == 1, d["with_in_edge"] == 1, d["num_of_edges"], by_dst)
+
+
+def load_index(spark: SparkSession, folder: str, of: str = "src") -> DataFrame:
+    """The stored ``(id, offset)`` of the edges by source, or of the in-edges by destination."""
+    return spark.read.parquet(f"{folder}/{'index' if of == 'src' else 'in_index'}")
+
+
+def save_adjacency_text(graph: Graph, path: str) -> None:
+    """A line ``src n dst1 ... dstn`` for each vertex with out-edges: a line is as long as its vertex has edges."""
+    rows = graph.edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("d"))
+    rows.select(F.concat_ws(" ", F.col("src").cast("string"), F.size("d").cast("string"), F.transform("d", lambda x: x.cast("string"))).alias("value")).write.mode("overwrite").text(path)
 
 
 def save_result(result: DataFrame, path: str, sentinels: bool = False) -> None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vertexloom.functions.vertex_ids import is_vertex
 from vertexloom.operators.graph import Graph
+from vertexloom.plans.lineage import Workspace
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +47,24 @@ def slot_graph(spark: SparkSession, folder: str) -> Graph:
     return Graph.from_edges(slots.groupBy("slot", "src", "dest_vert").agg(F.lit(1)), dst="dest_vert", store=True)
 
 
+def user_graph(spark: SparkSession, folder: str) -> Graph:
+    """From the user of an error to that of the next event, in order of time and id; unweighted.
+
+    The order is global, but no task holds it whole: ranges of it are numbered by a window each, and a range's last event finds its
+    follower among the ranges' first ones.
+    """
+    ws = Workspace(spark, "events")
+    events = _table(spark, folder, "events").select("ts", "event_id", "user_id", "event_type")
+    ranged = ws.cut(events.repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy("ts", "event_id")
+    firsts = ranged.groupBy("part").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("f"))
+    # A row for each range.
+    follows = firsts.select((F.lag("part").over(Window.orderBy("part"))).alias("part"), F.col("f.user_id").alias("_next"))
+    rows = ranged.withColumn("dst", F.lead("user_id").over(inside)).withColumn("_last", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("ts"), F.desc("event_id"))) == 1)
+    met = rows.join(F.broadcast(follows), "part", "left").select("event_type", F.col("user_id").alias("src"), F.when(F.col("_last"), F.col("_next")).otherwise(F.col("dst")).alias("dst"))
+    return Graph.from_edges(met.where("event_type = 'error'"), store=True)
+
+
 def busiest_source(graph: Graph) -> int:
     """The vertex of largest out-degree, the smallest id among equals."""
     top = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").first()

@@ -24,9 +24,17 @@ def _or_fail(good: Column, line: Column, what: str) -> Column:
     return F.when(good, True).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), line)).cast("boolean"))
 
 
+# Fixed prime and factor of the drawn weights.
+PRIME, FACTOR = 2147483647, 48271
+
+
 def hashed_weight(seed: int, *key: str) -> Column:
     """A weight in [0, 10) that depends on the columns and the seed only, so a repeated task draws it again."""
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(10_000)) / F.lit(1000.0)
+    h = F.lit(seed % PRIME).cast("long")
+    for c in key:
+        for add in (F.col(c).cast("long"), F.lit(1).cast("long")):
+            h = F.pmod(h * FACTOR + F.pmod(add, F.lit(PRIME)), F.lit(PRIME))
+    return F.pmod(F.pmod(h * FACTOR, F.lit(PRIME)), F.lit(10_000)) / F.lit(1000.0)
 
 
 def edge_list(spark: SparkSession, path: str, weighted: bool = False, seed: int = 0, on_error: str = "raise") -> Graph:

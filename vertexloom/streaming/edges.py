@@ -9,17 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vertexloom.operators.strict_load import STRICT, vertex_value
+from vertexloom.operators.strict_load import reason, vertex_value
 
 _FIELD = r"[0-9]+"
 
 
+def _lines(spark: SparkSession, folder: str, files_per_batch: int) -> DataFrame:
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    return lines.where("NOT startswith(value, '#')").withColumn("reason", reason(F.col("value")))
+
+
 def read_edge_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """``(src, dst)`` of the conforming lines of the text files that appear in ``folder``."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
     f = F.regexp_extract_all("value", F.lit(_FIELD), F.lit(0))
-    ends = lines.where(F.col("value").rlike(STRICT)).select(vertex_value(f[0]).alias("src"), vertex_value(f[1]).alias("dst"))
-    return ends.where("src IS NOT NULL AND dst IS NOT NULL")
+    return _lines(spark, folder, files_per_batch).where("reason IS NULL").select(vertex_value(f[0]).alias("src"), vertex_value(f[1]).alias("dst"))
+
+
+def read_rejects(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """``(raw_line, reason)`` of the other lines, comments apart: a stream for a second sink."""
+    return _lines(spark, folder, files_per_batch).where("reason IS NOT NULL").select(F.col("value").alias("raw_line"), "reason")
 
 
 def running_degrees(edges: DataFrame) -> DataFrame:
