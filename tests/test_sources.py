@@ -1,4 +1,5 @@
 import os
+import numpy as np
 import pytest
 
 from vertexloom.operators import algorithms as A
