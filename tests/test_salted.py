@@ -58,3 +58,7 @@ def test_prefix_sums(spark):
         assert got[i] == sums.get(g, 0)
         sums[g] = sums.get(g, 0) + (v or 0)
     assert prefix.prefix_sums(df.limit(0), ["g"], "h", "id", "v").count() == 0
+
+
+def test_a_key_is_heavy_relative_to_the_tasks():
+    assert salted.heavy_share(8) == salted.HEAVY_SHARE and salted.heavy_share(20_000) == 1 / 80_000

@@ -12,18 +12,24 @@ from pyspark.sql import functions as F
 from vertexloom.functions.vertex_ids import vertex_or_null
 
 SALTS = 64
-#: A key is heavy from this share of all rows on, so there are at most 1/HEAVY_SHARE = 1000 heavy keys, whatever the input.
-HEAVY_SHARE = 0.001
+#: A key is heavy from this share of all rows on, or from a TASK-th of an even task's rows where there are so many tasks that this is
+#: less: there are at most 1000, or TASK for each task of the exchange, heavy keys, whatever the input.
+HEAVY_SHARE, TASK = 0.001, 4
 
 
-def heavy_keys(rows: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
+def heavy_share(tasks: int) -> float:
+    return min(HEAVY_SHARE, 1 / (TASK * max(1, tasks)))
+
+
+def heavy_keys(rows: DataFrame, keys: list[str], share: float | None = None) -> DataFrame:
     """The distinct ``keys`` that hold at least ``share`` of the rows; at most ``1 / share`` of them."""
+    share = heavy_share(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if share is None else share
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.agg(F.count(F.lit(1)).alias("_all"))
     return counts.join(F.broadcast(total), F.col("_n") >= F.col("_all") * F.lit(share)).select(*keys)
 
 
-def neighbour_stats(pairs: DataFrame, keys: list[str], other: str, salts: int = SALTS, share: float = HEAVY_SHARE) -> DataFrame:
+def neighbour_stats(pairs: DataFrame, keys: list[str], other: str, salts: int = SALTS, share: float | None = None) -> DataFrame:
     """``keys``, ``degree`` (rows), ``distinct_neighbours`` and ``smallest_neighbour`` over the column ``other``.
 
     A heavy key's salt is drawn from a hash of its neighbour: as spread as a random one, but the same when a lost task runs
@@ -44,7 +50,7 @@ def neighbour_stats(pairs: DataFrame, keys: list[str], other: str, salts: int =
     )
 
 
-def endpoint_stats(pairs: DataFrame, left: str = "src_vert", right: str = "dest_vert", salts: int = SALTS, share: float = HEAVY_SHARE) -> DataFrame:
+def endpoint_stats(pairs: DataFrame, left: str = "src_vert", right: str = "dest_vert", salts: int = SALTS, share: float | None = None) -> DataFrame:
     """``(endpoint, vert, degree, distinct_neighbours, smallest_neighbour)`` for every vertex of both columns.
 
     Every row counts, repeated ones too. A row counts for an endpoint if that column holds a vertex id; its other end is a
