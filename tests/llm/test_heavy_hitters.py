@@ -24,7 +24,9 @@ def test_estimates_are_never_low_and_the_heavy_ones_are_found(spark):
     assert [v for v, _ in top] == [v for v, _ in truth.most_common(3)]
 
 
-def test_holders_at_the_border(spark):
+@pytest.mark.parametrize("most", [hh.MOST_BROADCAST, 0])
+def test_holders_at_the_border(spark, monkeypatch, most):
+    monkeypatch.setattr(hh, "MOST_BROADCAST", most)
     values = [1] * 5 + [2] * 4 + list(range(100, 1991)) + [None] * 100  # 5 of 1900 rows are less, 4 of 1600 exactly one in 400
     assert {r["value"] for r in hh.holders(frame(spark, values), "v", 400).collect()} == {1}
     values = [1] * 5 + [2] * 4 + list(range(100, 1691))

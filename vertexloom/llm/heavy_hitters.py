@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.plans.lineage import Workspace
+
 DEPTH, WIDTH, CANDIDATES = 4, 1 << 16, 4096
+#: More candidates than this are joined without a broadcast.
+MOST_BROADCAST = 100_000
 # Fixed odd multipliers of the sketch's rows.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -110,8 +114,8 @@ def holders(values: DataFrame, column: str, one_in: int, **sizes: int) -> DataFr
 
     At most ``one_in`` values hold that share and no estimate is too low, so a holder could leave a partition's candidates only
     if ``keep`` others were estimated higher: ``keep`` must be at least twice and ``width`` 16 times ``one_in``, where the
-    sketch's error is far below a holder's count. The candidates that pass by their estimate (never more than
-    ``keep * parts``, in practice about as many as there are holders) are then counted exactly in a second scan.
+    sketch's error is far below a holder's count. The candidates that pass by their estimate are then counted exactly in a second
+    scan; they are broadcast to it if they turn out to be no more than ``MOST_BROADCAST``, as they are unless the sketches are far too narrow.
     """
     keep = sizes.get("keep", CANDIDATES)
     if keep < 2 * one_in or sizes.get("width", WIDTH) < 16 * one_in:
@@ -119,6 +123,8 @@ def holders(values: DataFrame, column: str, one_in: int, **sizes: int) -> DataFr
     found = candidates(values, column, **sizes)
     only = values.select(F.col(column).cast("long").alias("value")).where("value IS NOT NULL")
     total = only.agg(F.count(F.lit(1)).alias("_all"))
-    likely = found.join(F.broadcast(total), F.col("approx_count") * one_in >= F.col("_all")).select("value", "_all")
-    exact = only.join(F.broadcast(likely), "value").groupBy("value", "_all").agg(F.count(F.lit(1)).alias("n"))
+    likely, seen = Workspace(values.sparkSession, "holders").cut_measured(
+        found.join(F.broadcast(total), F.col("approx_count") * one_in >= F.col("_all")).select("value", "_all"), n=F.count(F.lit(1))
+    )
+    exact = only.join(F.broadcast(likely) if seen["n"] <= MOST_BROADCAST else likely, "value").groupBy("value", "_all").agg(F.count(F.lit(1)).alias("n"))
     return exact.where(F.col("n") * one_in >= F.col("_all")).select("value", "n")
