@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.vertex_ids import vertex_or_null
+from vertexloom.plans.sizing import shuffle_parts
 
 SALTS = 64
 #: A key is heavy from this share of all rows on, or from a TASK-th of an even task's rows where there are so many tasks that this is
@@ -23,7 +24,7 @@ def heavy_share(tasks: int) -> float:
 
 def heavy_keys(rows: DataFrame, keys: list[str], share: float | None = None) -> DataFrame:
     """The distinct ``keys`` that hold at least ``share`` of the rows; at most ``1 / share`` of them."""
-    share = heavy_share(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if share is None else share
+    share = heavy_share(shuffle_parts(rows.sparkSession)) if share is None else share
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.agg(F.count(F.lit(1)).alias("_all"))
     return counts.join(F.broadcast(total), F.col("_n") >= F.col("_all") * F.lit(share)).select(*keys)

@@ -75,19 +75,18 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._steps = 0
-        self._own = spark._jsparkSession.cloneSession()
+        self._own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
         settings = OWN if shuffle_partitions is None else OWN | {"spark.sql.shuffle.partitions": str(shuffle_partitions)}
         for key, value in settings.items():
-            self._own.conf().set(key, value)
+            self._own.conf.set(key, value)
         _open[self.root] = self
         if (opened := _scope.get()) is not None:
             opened.append(self)
 
     def _bound(self, df: DataFrame) -> DataFrame:
         """The same plan in the workspace's own session."""
-        context = self.spark.sparkContext
-        rows = context._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self._own, df._jdf.logicalPlan())
-        return DataFrame(rows, SparkSession(context, self._own))
+        dataset = self.spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset
+        return DataFrame(dataset.ofRows(self._own._jsparkSession, df._jdf.logicalPlan()), self._own)
 
     def _observed(self, df: DataFrame, measures: dict[str, Column]) -> tuple[DataFrame, Observation | None]:
         df = self._bound(df)
