@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.plans.lineage import Workspace
+from vertexloom.plans.sizing import shuffle_parts
 
 DEPTH, WIDTH, CANDIDATES = 4, 1 << 16, 4096
 #: More candidates than this are joined without a broadcast.
@@ -97,7 +98,7 @@ def candidates(values: DataFrame, column: str, parts: int | None = None, width:
     falls into the same partition. A task holds ``4 * width`` cells, ``keep`` candidates and one batch. An empty column gives no row.
     """
     only = values.select(F.col(column).cast("long").alias("value")).where("value IS NOT NULL")
-    parts = parts or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or shuffle_parts(values.sparkSession)
     counted = only.mapInArrow(_precount, "value long, n long")
     return counted.repartition(parts, "value").mapInArrow(_sketched(width, keep), "value long, approx_count long, part_rows long")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.arrow import gather, slices
 from vertexloom.plans.lineage import Workspace
-from vertexloom.plans.sizing import parts
+from vertexloom.plans.sizing import parts, shuffle_parts
 
 SPAN, UNIT = 200, 100
 #: Characters hashed at once; a position in them has to fit the low bits of a hash.
@@ -456,7 +456,7 @@ def shared_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
         raise ValueError("unit must lie between 1 and span")
     spark = docs.sparkSession
     ws = Workspace(spark, "spans")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = shuffle_parts(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= span))
     rows = rows.withColumn("cls", _class("text"))
     members, seen = ws.cut_measured(rows.select("doc_id", "cls", _second("text").alias("second"), F.length("text").alias("n_chars")).distinct(), chars=F.sum("n_chars"))
